@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxgrain.llm import chat, exact_dedup, html, mixing, ngram_join, urlfilter
+from fluxgrain.llm import chat, decontam, exact_dedup, html, mixing, ngram_join, urlfilter
 from fluxgrain.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ SQL["op7_url_filter"] = urlfilter.URL_SQL
 @query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
