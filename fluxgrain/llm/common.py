@@ -117,9 +117,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
     return out
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, off: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row the index of its first word (plus the total)."""
-    ink = ~IS_SPACE[data]
+    ink = ~apart[data]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
