@@ -2,8 +2,8 @@
 
 Severity grades come from the labels: 0 not toxic, 1 toxic in a text of good quality, 2 toxic in one of bad quality. The model is
 ``P(grade <= j) = sigmoid(theta_j - w . x)`` with one weight vector shared by all thresholds theta_0 <= theta_1; x marks which of the
-model's words a text has. The words are the MAX_WORDS whose presence tells labelled texts with toxicity from those without it best;
-they are kept as 64-bit hashes, so no two features share a weight. A text's expected severity is the sum of ``P(grade > j)``;
+model's features (words and beginnings of words) a text has. They are the MAX_WORDS whose presence tells toxic labelled texts
+from others best, and are kept as 64-bit hashes, so no two features share a weight. A text's expected severity is the sum of ``P(grade > j)``;
 it is toxic where that reaches THRESHOLD.
 
 The model is fitted on the driver on at most MAX_TRAIN labelled rows, those with the least hashes of their doc_id. Scoring covers
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrain.llm.common import LOWER, slices, small_batches, span_hashes, utf8, word_spans
+from fluxgrain.llm.common import LOWER, mix64, slices, small_batches, span_hashes, utf8, word_spans
 
 GRADES = 3
 MAX_TRAIN = 6000
@@ -36,11 +36,22 @@ APART = np.ones(256, dtype=bool)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def text_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of letters and digits of each text, and the rows' bounds among them."""
+#: Besides its words, a text has as features the first so many bytes of its longer words, which inflected forms share.
+STEMS = (4, 5, 6)
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the features of each text: its words of letters and digits, lower-cased (A-Z), and their beginnings."""
     data, off = utf8(column)
+    data = LOWER[data]
     start, end, bounds = word_spans(data, off, APART)
-    return span_hashes(LOWER[data], start, end), bounds
+    row = np.repeat(np.arange(len(column)), np.diff(bounds))
+    rows, hashes = [row], [span_hashes(data, start, end)]
+    for size in STEMS:
+        longer = end - start > size
+        rows.append(row[longer])
+        hashes.append(mix64(span_hashes(data, start[longer], start[longer] + size) ^ np.uint64(size)))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 @dataclass
@@ -52,14 +63,14 @@ class Model:
     def severity(self, scores: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(self.thetas[None, :] - scores[:, None]))).sum(1)
 
-    def score(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        n = len(bounds) - 1
-        if not len(self.words) or not len(words):
+    def score(self, column: pa.Array) -> np.ndarray:
+        n = len(column)
+        row, found = features(column)
+        if not len(self.words) or not len(found):
             return np.zeros(n)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        hit = self.words[at] == words
-        row = np.repeat(np.arange(n), np.diff(bounds))[hit]
-        seen = np.unique(row * len(self.words) + at[hit])
+        at = np.minimum(np.searchsorted(self.words, found), len(self.words) - 1)
+        hit = self.words[at] == found
+        seen = np.unique(row[hit] * len(self.words) + at[hit])
         return np.bincount(seen // len(self.words), self.weights[seen % len(self.words)], n)
 
 
@@ -79,7 +90,7 @@ def select_words(texts: list[np.ndarray], toxic: np.ndarray, most: int) -> np.nd
     return np.sort(every[best[z[best] > 4]])
 
 
-def fit_model(texts: list[np.ndarray], grades: np.ndarray, most: int = MAX_WORDS, ridge: float = 1e-3, steps: int = 600) -> Model:
+def fit_model(texts: list[np.ndarray], grades: np.ndarray, most: int = MAX_WORDS, ridge: float = 1e-4, steps: int = 800) -> Model:
     """texts: the distinct word hashes of each. Maximises the penalised likelihood by gradient steps with momentum (Adam)."""
     words = select_words(texts, grades > 0, most)
     x = np.zeros((len(texts), len(words)), np.float64)
@@ -117,8 +128,10 @@ def fit_model(texts: list[np.ndarray], grades: np.ndarray, most: int = MAX_WORDS
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
-            words, bounds = text_words(batch.column("text"))
-            sets = [np.unique(words[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            row, found = features(batch.column("text"))
+            order = np.argsort(row, kind="stable")
+            bounds, found = np.searchsorted(row[order], np.arange(batch.num_rows + 1)).tolist(), found[order]
+            sets = [np.unique(found[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "grade": batch.column("grade"), "words": pa.array(sets, pa.binary())})
 
 
@@ -139,7 +152,7 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                severity = model.value.severity(model.value.score(*text_words(batch.column("text"))))
+                severity = model.value.severity(model.value.score(batch.column("text")))
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch.column("doc_id"), "severity": pa.array(np.round(severity, 6)), "grade": pa.array(np.minimum(np.floor(severity + 0.5), GRADES - 1).astype(np.int32)), "toxic": pa.array(severity >= THRESHOLD)}
                 )
@@ -163,7 +176,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                severity = shipped.value.severity(shipped.value.score(*text_words(batch.column("text"))))
+                severity = shipped.value.severity(shipped.value.score(batch.column("text")))
                 yield batch.filter(pa.array(severity < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
