@@ -43,7 +43,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source for each row of docs."""
+    """doc_id, size, source_size, target, taken, source, tie (a hash of the text) for each row of docs."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
@@ -62,7 +62,14 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = F.floor(F.col("target")) - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before") - F.col("inside")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "source", "tie")
+
+
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of docs that the mix takes words of, with size, target (their source's) and taken. Equal rows must not repeat."""
+    plan = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("d"), "tie", "size", "target", "taken")
+    found = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("tie")))
+    return found.select(*(docs[c] for c in docs.columns), "size", "target", "taken")
 
 
 MIX_SQL = f"""

@@ -36,7 +36,7 @@ FROM d
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("tie")
 
 
 SQL["op2_mixing"] = mixing.MIX_SQL
