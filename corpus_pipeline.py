@@ -26,9 +26,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone."""
+    """The rows of docs whose doc_id isn't in gone. A merge join at every size: gone grows with docs."""
     gone = saved(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
