@@ -36,7 +36,7 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 def onset(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     first = e.agg(F.min("ts").alias("t0"))
-    seconds = (F.unix_micros("ts") - F.unix_micros("t0")) / 1e6
+    seconds = F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("ts")) / 1e6
     return e.where("event_type = 'purchase'").crossJoin(F.broadcast(first)).select(F.col("user_id").alias("roi"), seconds.alias("t_s"))
 
 
