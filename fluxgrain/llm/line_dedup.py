@@ -121,7 +121,7 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with text without its later repeated runs, and n_lines, n_removed."""
     spans = saved(repeats(docs, least).withColumnRenamed("doc_id", "of"), "spans")
-    found = docs.join(spans, F.col("doc_id") == F.col("of"), "left").drop("of")
+    found = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("of"), "left").drop("of")
     lines = F.split(F.col("text"), "\n", -1)
     gone = F.transform(lines, lambda x, i: F.exists(F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda s: (s["a"] <= i) & (i <= s["b"])))
     found = found.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
