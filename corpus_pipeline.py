@@ -27,8 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in gone. A merge join at every size: gone grows with docs."""
-    gone = saved(gone.select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = saved(gone.select(F.col("doc_id").alias("_fg_gone")).distinct(), "gone")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fg_gone")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return without(docs, found.where("not kept"))
     # a doc_id that repeats doesn't name a row: its text must, and of equal rows one stays
-    kept = found.where("kept").select(F.col("doc_id").alias("d"), F.col("text_sha256").alias("sha")).distinct()
+    kept = found.where("kept").select(F.col("doc_id").alias("_fg_d"), F.col("text_sha256").alias("_fg_s")).distinct()
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), WS_CHARS, "").cast("binary"), 256)
-    rows = docs.withColumn("sha", sha).withColumn("size", F.length(F.coalesce("text", F.lit(""))))
-    best = rows.groupBy("doc_id", "sha").agg(F.max("size").alias("most")).select(F.col("doc_id").alias("d2"), F.col("sha").alias("sha2"), "most")
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["sha"] == kept["sha"]), "left_semi")
-    rows = rows.join(best, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("sha") == F.col("sha2")) & (F.col("size") == F.col("most")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "sha"]).select(*docs.columns)
+    rows = docs.withColumn("_fg_sha", sha).withColumn("_fg_size", F.length(F.coalesce("text", F.lit(""))))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_fg_d")) & (F.col("_fg_sha") == F.col("_fg_s")), "left_semi")
+    most = rows.groupBy(F.col("doc_id").alias("_fg_d2"), F.col("_fg_sha").alias("_fg_s2")).agg(F.max("_fg_size").alias("_fg_most"))
+    same = F.col("doc_id").eqNullSafe(F.col("_fg_d2")) & (F.col("_fg_sha") == F.col("_fg_s2")) & (F.col("_fg_size") == F.col("_fg_most"))
+    return rows.join(most, same, "left_semi").dropDuplicates(["doc_id", "_fg_sha"]).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

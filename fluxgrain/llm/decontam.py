@@ -72,5 +72,5 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that have no hit."""
-    bad = saved(hits(docs, benchmark).select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    bad = saved(hits(docs, benchmark).select(F.col("doc_id").alias("_fg_bad")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_fg_bad")), "left_anti")

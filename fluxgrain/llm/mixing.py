@@ -67,9 +67,10 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of docs that the mix takes words of, with size, target (their source's) and taken. Equal rows must not repeat."""
-    plan = mix(docs, seed).where("taken > 0").select(F.col("doc_id").alias("d"), "tie", "size", "target", "taken")
-    found = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("tie")))
-    return found.select(*(docs[c] for c in docs.columns), "size", "target", "taken")
+    plan = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"_fg_{c}") for c in ("doc_id", "tie", "size", "target", "taken")))
+    found = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_fg_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("_fg_tie")))
+    given = [c for c in docs.columns if c not in ("size", "target", "taken")]
+    return found.select(*given, *(F.col(f"_fg_{c}").alias(c) for c in ("size", "target", "taken")))
 
 
 MIX_SQL = f"""

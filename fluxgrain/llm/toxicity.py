@@ -103,8 +103,8 @@ def fit_model(texts: list[np.ndarray], grades: np.ndarray, most: int = MAX_WORDS
     share = np.minimum(share, 1 - 1e-6)
     theta = np.log(share / (1 - share))
     theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-3)
-    if not len(words):
-        return Model(words, np.zeros(0), theta)
+    if not len(words):  # nothing tells toxic texts: none is
+        return Model(words, np.zeros(0), np.maximum(theta, [4.0, 5.0]))
     p = np.concatenate([np.zeros(len(words)), [theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     k, n = len(words), len(texts)
