@@ -10,8 +10,8 @@ Texts become sets of 64-bit hashes of k-word shingles. Two documents link when `
    common passages out. If A and B link and |A| <= |B|, they share L of the ``|B| - ceil(|B| * num / den) + L`` rarest tokens
    of B and the ``|A| - ceil(2 * |A| * num / (num + den)) + L`` rarest of A. So the number of a query's rare tokens in a
    group's union bounds its overlap with every member that isn't larger: groups with fewer than L are never opened.
-4. Qualifying groups are opened: their queries and their members, each cut into blocks of about BLOCK tokens, meet block by
-   block, where overlaps of whole sets are matrix products. A block puts out a spanning forest of its links, not the links.
+4. Qualifying groups are opened: their queries and their members, each cut into blocks of about BLOCK tokens by size and
+   hash, meet block by block, where overlaps of whole sets are matrix products. A block puts out a spanning forest of its links, not the links.
 5. Components of the forests' edges are the result.
 
 Nothing is sampled or capped. Set equality and overlap hold up to collisions of 64-bit hashes.
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrain.llm.common import mix64, saved, shingle_hashes, slices, small_batches, word_hashes
@@ -262,6 +262,16 @@ def opener(num: int, den: int) -> Kernel:
     return run
 
 
+def blocked(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows (g, id, n) with their block: of each group and size band as many as BLOCK tokens need. Totals are aggregates and the
+    block a hash, so that no task sees a whole group."""
+    band = F.floor(F.log(F.col("n")) / float(np.log(den / num))) if num < den else F.col("n").cast("long")
+    rows = rows.withColumn("band", band)
+    totals = saved(rows.groupBy("g", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts")), "totals")
+    rows = rows.join(totals, ["g", "band"])
+    return saved(rows.select("g", "id", "n", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -286,19 +296,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     rare = saved(prefix.join(shared, "token", "left_semi"), "rare")
     matrix = rare.where("short").select("token", F.col("grp").alias("g")).distinct()
     bound = rare.join(matrix, "token").groupBy("id", "n", "grp", "g").count().where(f"count >= {least}")
-    members = saved(rare.where("short").groupBy("id", "n", F.col("grp").alias("g")).count().where(f"count >= {least}").drop("count"), "members")
+    members = saved(rare.where("short").groupBy("id", "n", F.col("grp").alias("g")).count().where(f"count >= {least}").select("g", "id", "n"), "members")
     several = members.groupBy("g").count().withColumnRenamed("count", "c")
     opened = saved(bound.drop("count").join(several, "g").where("grp <> g or c > 1").select("g", "id", "n"), "opened")
 
-    # blocks of queries and of members, and those pairs of blocks whose sizes allow links
-    upto = Window.partitionBy("g").orderBy("n", "id")
-    queries = opened.withColumn("qb", F.floor(F.sum("n").over(upto) / BLOCK))
-    members = members.withColumn("mb", F.floor(F.sum("n").over(upto) / BLOCK))
-    q = queries.groupBy("g", "qb").agg(F.min("n").alias("ql"), F.max("n").alias("qh"))
-    m = members.groupBy("g", "mb").agg(F.min("n").alias("ml"), F.max("n").alias("mh"))
+    # blocks of queries and of members by size band and hash, and those pairs of blocks whose sizes allow links
+    queries, members = blocked(opened, num, den), blocked(members, num, den)
+    q = queries.groupBy("g", "block").agg(F.min("n").alias("ql"), F.max("n").alias("qh")).withColumnRenamed("block", "qb")
+    m = members.groupBy("g", "block").agg(F.min("n").alias("ml"), F.max("n").alias("mh")).withColumnRenamed("block", "mb")
     meet = saved(q.join(m, "g").where(f"qh >= ml and {den} * mh >= {num} * ql").select("g", "qb", "mb"), "meetings")
-    sides = queries.join(meet, ["g", "qb"]).select("g", "qb", "mb", F.lit(1).alias("query"), "id").union(members.join(meet, ["g", "mb"]).select("g", "qb", "mb", F.lit(0), "id"))
-    sides = saved(sides, "sides")
+    queries = queries.select("g", F.col("block").alias("qb"), F.lit(1).alias("query"), "id").join(meet, ["g", "qb"])
+    members = members.select("g", F.col("block").alias("mb"), F.lit(0).alias("query"), "id").join(meet, ["g", "mb"])
+    sides = saved(queries.select("g", "qb", "mb", "query", "id").union(members.select("g", "qb", "mb", "query", "id")), "sides")
     wanted = reps.join(sides.select("id").distinct(), "id").select("id", "s1")
     sets = saved(docs.join(wanted, "id").mapInArrow(setter(k), "id long, tokens binary"), "sets")
     dealt = sides.join(sets, "id").select("g", "qb", "mb", "query", "id", "tokens").repartition("g", "qb", "mb").sortWithinPartitions("g", "qb", "mb", "query", "id")
