@@ -112,6 +112,7 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     runs = later.groupBy("id", "id0", "shift", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("s0").alias("s0"))
     runs = saved(runs.select("id", "id0", "s", "e", "s0"), "runs")
     one = table.select("id", "lines", "numbers").groupBy("id").agg(F.min(F.struct("lines", "numbers")).alias("x")).select("id", "x.lines", "x.numbers")
+    one = saved(one, "lines-by-id")  # so that both sides of the joins are plain exchanges, whose hot keys adaptive execution splits
     both = runs.join(one, "id").join(one.select(F.col("id").alias("id0"), F.col("lines").alias("first")), "id0")
     both = both.select("id", "s", "e", "s0", "lines", "numbers", "first")
     spans = both.mapInArrow(_extend, f"id {kind}, a long, b long")
@@ -119,13 +120,13 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs with text without its later repeated runs, and n_lines, n_removed."""
-    spans = saved(repeats(docs, least).withColumnRenamed("doc_id", "of"), "spans")
-    found = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("of"), "left").drop("of")
+    """The rows of docs with text without its later repeated runs, and n_lines, n_removed (in the place of columns so named)."""
+    spans = saved(repeats(docs, least).select(F.col("doc_id").alias("_fg_of"), F.col("spans").alias("_fg_spans")), "spans")
+    found = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("_fg_of"), "left").drop("_fg_of")
     lines = F.split(F.col("text"), "\n", -1)
-    gone = F.transform(lines, lambda x, i: F.exists(F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda s: (s["a"] <= i) & (i <= s["b"])))
+    kept = F.filter(lines, lambda x, i: ~F.exists("_fg_spans", lambda s: (s["a"] <= i) & (i <= s["b"])))
+    cut = F.col("_fg_spans").isNotNull() & F.col("text").isNotNull()
+    found = found.withColumn("_fg_kept", F.when(cut, kept))
     found = found.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i <= s["b"]))), "\n")
-    removed = F.size(F.filter(gone, lambda x: x)).cast("long")
-    found = found.withColumn("n_removed", F.when(F.col("spans").isNull() | F.col("text").isNull(), 0).otherwise(removed).cast("long"))
-    return found.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).drop("spans")
+    found = found.withColumn("n_removed", F.when(cut, F.col("n_lines") - F.size("_fg_kept")).otherwise(0).cast("long"))
+    return found.withColumn("text", F.when(cut, F.array_join("_fg_kept", "\n")).otherwise(F.col("text"))).drop("_fg_spans", "_fg_kept")
