@@ -151,16 +151,21 @@ def to_uint8(df: DataFrame, value: str, key: Sequence[str] = ("roi",)) -> DataFr
 
 
 def process(df: DataFrame, fps: float, cutoff: float = 1.0, window_s: float = 45.0, sg_ms: float = 333.0, init: str = "first") -> DataFrame:
-    """dff, low, dt of each (recording, roi): rolling baseline, causal low-pass, derivative. One grouped-map pass for long traces."""
+    """dff, low, dt of each (recording, roi): rolling baseline, causal low-pass, derivative. One shuffle gathers a trace into an
+    array; batches of traces then pass through the kernels."""
+    samples = df.groupBy("recording", "roi").agg(F.sort_array(F.collect_list(F.struct("frame", "f"))).alias("s"))
+    arrays = samples.select("recording", "roi", F.transform("s", lambda x: x["frame"]).alias("frame"), F.transform("s", lambda x: x["f"]).alias("xs"))
 
-    def one(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("frame")
-        dff = kernels.dff_rolling(x["f"].to_numpy(), fps, window_s)
-        low = kernels.lowpass(dff, cutoff, fps, init)
-        return pd.DataFrame({"recording": x["recording"], "roi": x["roi"], "frame": x["frame"], "dff": dff, "low": low, "dt": kernels.savgol_derivative(low, fps, sg_ms, 2)})
+    def run(batches):
+        for x in batches:
+            dff = [kernels.dff_rolling(np.asarray(v, float), fps, window_s) for v in x["xs"]]
+            low = [kernels.lowpass(v, cutoff, fps, init) for v in dff]
+            dt = [kernels.savgol_derivative(v, fps, sg_ms, 2) for v in low]
+            yield pd.DataFrame({"recording": x["recording"], "roi": x["roi"], "frame": x["frame"], "dff": dff, "low": low, "dt": dt})
 
     kind = df.schema["recording"].dataType.simpleString()
-    return df.select("recording", "roi", "frame", "f").groupBy("recording", "roi").applyInPandas(one, f"recording {kind}, roi long, frame long, dff double, low double, dt double")
+    out = arrays.mapInPandas(run, f"recording {kind}, roi long, frame array<long>, dff array<double>, low array<double>, dt array<double>")
+    return out.select("recording", "roi", F.inline(F.arrays_zip("frame", "dff", "low", "dt")))
 
 
 def process_arrays(arrays: DataFrame, fps: float, cutoff: float = 1.0, window_s: float = 45.0, sg_ms: float = 333.0) -> DataFrame:
