@@ -127,7 +127,8 @@ def dedup(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     key = ["n_norm", "fp1", "fp2"]
     fps = saved(fingerprint(docs), "fingerprints")
-    several = fps.groupBy(*key).count().where("count > 1").select(*key)
+    # saved, as classes below, so that both sides of the joins are plain exchanges, whose hot keys adaptive execution splits
+    several = saved(fps.groupBy(*key).count().where("count > 1").select(*key), "several")
     bad = saved(differing(docs, fps.join(several, key, "left_semi")), "differing")
     if bad.isEmpty():
         fps = fps.withColumn("sub", F.lit(""))
@@ -136,7 +137,7 @@ def dedup(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
         fps = fps.withColumn("sub", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split")
     key.append("sub")
     best = F.min(F.struct((-F.col("n_cp")).alias("short"), F.col("doc_id").isNull().alias("none"), "doc_id"))
-    classes = fps.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    classes = saved(fps.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "classes")
     return fps.join(classes, key).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
