@@ -297,8 +297,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     matrix = rare.where("short").select("token", F.col("grp").alias("g")).distinct()
     bound = rare.join(matrix, "token").groupBy("id", "n", "grp", "g").count().where(f"count >= {least}")
     members = saved(rare.where("short").groupBy("id", "n", F.col("grp").alias("g")).count().where(f"count >= {least}").select("g", "id", "n"), "members")
-    several = members.groupBy("g").count().withColumnRenamed("count", "c")
-    opened = saved(bound.drop("count").join(several, "g").where("grp <> g or c > 1").select("g", "id", "n"), "opened")
+    # a group's only member may be another set than the query, since a query is bounded with more of its tokens than a member
+    several = members.groupBy("g").agg(F.count("*").alias("c"), F.min("id").alias("only"))
+    opened = saved(bound.drop("count").join(several, "g").where("c > 1 or only <> id").select("g", "id", "n"), "opened")
 
     # blocks of queries and of members by size band and hash, and those pairs of blocks whose sizes allow links
     queries, members = blocked(opened, num, den), blocked(members, num, den)

@@ -363,6 +363,17 @@ def test_ngram_join_opens_large_groups_in_blocks(spark, monkeypatch):
     assert got == sorted(plain_join(rows, 4, 85, 100), key=repr)
 
 
+def test_ngram_join_opens_groups_whose_only_member_is_another_set(spark):
+    rng = random.Random(12)
+    hub = random_words(rng, 104, 100000)
+    rows = [(0, " ".join(hub))] + [(i, " ".join(hub + [f"v{i}x{j}" for j in range(14 + i % 8)])) for i in range(1, 25)]
+    for i in range(25, 65, 2):
+        short = random_words(rng, rng.randrange(8, 14), 100000)
+        rows += [(i, " ".join(short)), (i + 1, " ".join([*short, f"v{i}"]))]
+    got = table(ngram_join.join(docs(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain_join(rows, 5, 80, 100), key=repr)
+
+
 def test_ngram_join_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     got = ngram_join.join(docs(spark, [(5, text), (5, text), (None, text), (None, "alone here")]), 4, 85, 100)
