@@ -121,3 +121,33 @@ def shift_surrogates(pairs: DataFrame, rounds: int, seed: int = 1) -> DataFrame:
 
 def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
+
+
+def curve_blocks(arrays: DataFrame, most: int, block: int = 128) -> DataFrame:
+    """grp, roi_a, roi_b, rs: the sums over t of a[t + k] * b[t] for k = -most..most, of all pairs roi_a < roi_b inside each group.
+
+    arrays: grp (long), roi, zs (of one length inside a group). A group is cut by hash into blocks of about `block` regions; a
+    task multiplies two blocks as matrices, so that no task sees a whole group.
+    """
+    parts = arrays.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    r = arrays.join(parts, "grp").withColumn("blk", F.pmod(F.xxhash64("roi"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
+    r = r.select("grp", "roi", "zs", "blk", others)
+    dealt = r.select("grp", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "roi", "zs")
+
+    def one(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["blk"] == k[1]], rows[rows["blk"] == k[2]]
+        if x.empty or y.empty:
+            return pd.DataFrame({"grp": [], "roi_a": [], "roi_b": [], "rs": []})
+        za, zb = np.stack(x["zs"].to_numpy()), np.stack(y["zs"].to_numpy())
+        n = za.shape[1]
+        lagged = lambda i: za[:, i:] @ zb[:, : n - i].T if i >= 0 else za[:, : n + i] @ zb[:, -i:].T
+        sums = np.stack([lagged(i) if abs(i) < n else np.zeros((len(za), len(zb))) for i in range(-most, most + 1)], axis=-1)
+        a, b = (m.ravel() for m in np.meshgrid(x["roi"].to_numpy(), y["roi"].to_numpy(), indexing="ij"))
+        sums = sums.reshape(len(a), -1)
+        swap = a > b
+        sums[swap] = sums[swap, ::-1]
+        keep = (a < b) if k[1] == k[2] else np.ones(len(a), bool)
+        return pd.DataFrame({"grp": k[0], "roi_a": np.minimum(a, b)[keep], "roi_b": np.maximum(a, b)[keep], "rs": list(sums[keep])})
+
+    return dealt.groupBy("grp", "p", "q").applyInPandas(one, "grp long, roi_a long, roi_b long, rs array<double>")

@@ -133,9 +133,9 @@ SHIFTED = ZS + """, q AS (SELECT a.roi AS roi_a, b.roi AS roi_b, a.cluster FROM
  o AS (SELECT n.cluster, n.roi_a, n.roi_b, any_value(o.r) AS r, count(*) FILTER (abs(n.r) >= abs(o.r) - 1e-12) AS exceed FROM r n JOIN r o ON o.roi_a = n.roi_a AND o.roi_b = n.roi_b AND o.i = -1 WHERE n.i >= 0 GROUP BY ALL)"""
 
 
-def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs inside the clusters of a stated query set of regions, with shift-surrogate p values."""
-    a = score_arrays(spark, sf_dir).where("roi < 60").select("cluster", F.col("roi").alias("roi_a"), F.col("zs").alias("za"))
+def surrogates(spark: SparkSession, sf_dir: str, which: str = "roi < 60") -> DataFrame:
+    """Pairs inside the clusters of the regions `which`, with shift-surrogate p values."""
+    a = score_arrays(spark, sf_dir).where(which).select("cluster", F.col("roi").alias("roi_a"), F.col("zs").alias("za"))
     b = a.select("cluster", F.col("roi_a").alias("roi_b"), F.col("za").alias("zb"))
     return P.shift_surrogates(a.join(b, "cluster").where("roi_a < roi_b"), 20)
 
@@ -147,7 +147,10 @@ def q_shift_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SHIFTED + " SELECT cluster, count(*) AS n_pairs, round(avg(r), 6) + 0.0 AS mean_r, round(median(r), 6) + 0.0 AS median_r, round(avg((exceed < 1)::INT), 6) AS frac_p_low, round(min((exceed + 1) / 21), 6) AS min_p FROM o GROUP BY cluster")
 def q_surrogate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = surrogates(spark, sf_dir)
+    return surrogate_summary(surrogates(spark, sf_dir))
+
+
+def surrogate_summary(s: DataFrame) -> DataFrame:
     low = F.avg((F.col("exceed") < 1).cast("int"))
     return s.groupBy("cluster").agg(F.count("*").alias("n_pairs"), r6(F.avg("r")).alias("mean_r"), r6(F.median("r")).alias("median_r"), r6(low).alias("frac_p_low"), r6(F.min("p")).alias("min_p"))
 
@@ -188,3 +191,81 @@ def q_natural_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.cluster_pairs(cluster(spark, sf_dir), with_self=False)
     a, b = F.regexp_extract("cluster_a", "C([0-9]+)", 1), F.regexp_extract("cluster_b", "C([0-9]+)", 1)
     return c.select(F.concat_ws("x", a, b).alias("pair"), (a.cast("int") * 100 + b.cast("int")).alias("sort_key")).orderBy("sort_key")
+
+
+# The queries above whose SQL names an id subset, over all regions of the table; too many pairs for SQL.
+
+
+def whole_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = score_arrays(spark, sf_dir).select(F.lit(0).cast("long").alias("grp"), "roi", "zs")
+    return P.curve_blocks(a, 10).withColumn("rs", F.transform("rs", lambda x: x / 64))
+
+
+def peak(curves: DataFrame, most: int) -> DataFrame:
+    """max_corr and best_lag of the curves rs; of equal maxima the least lag."""
+    c = curves.withColumn("max_corr", F.array_max("rs"))
+    return c.withColumn("best_lag", (F.array_position("rs", F.col("max_corr")) - 1 - most).cast("int"))
+
+
+@query()
+def q_xcorr_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = whole_curve(spark, sf_dir).select("roi_a", "roi_b", F.posexplode("rs").alias("at", "r"))
+    return c.select("roi_a", "roi_b", (F.col("at") - 10).alias("k"), r6("r").alias("r"))
+
+
+@query()
+def q_xcorr_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peak(whole_curve(spark, sf_dir), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"), r6(F.get("rs", F.lit(10))).alias("zero_lag"))
+
+
+@query()
+def q_raw_xcorr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("xs")
+    a = trace_arrays(spark, sf_dir).withColumn("mean", mean)
+    a = a.select(F.lit(0).cast("long").alias("grp"), "roi", F.transform("xs", lambda x: x.cast("double") - F.col("mean")).alias("zs"))
+    return peak(P.curve_blocks(a, 10), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_raw"))
+
+
+@query()
+def q_topk_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = whole_curve(spark, sf_dir).select("roi_a", "roi_b", F.get("rs", F.lit(10)).alias("r"))
+    rn = F.row_number().over(Window.partitionBy("roi_a").orderBy(F.desc(F.abs("r")), "roi_b")).cast("long")
+    return c.withColumn("rn", rn).where("rn <= 3").select("roi_a", "roi_b", r6("r").alias("r"), "rn")
+
+
+@query()
+def q_cell_means_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return peak(whole_curve(spark, sf_dir), 10).groupBy("roi_a").agg(r6(F.avg("best_lag")).alias("mean_lag"))
+
+
+@query()
+def q_zero_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs inside each recording; the correlation with a constant trace is null."""
+    t = trace(spark, sf_dir)
+    w = Window.partitionBy("roi")
+    z = F.when(F.stddev_pop("f").over(w) > 0, (F.col("f") - F.avg("f").over(w)) / F.stddev_pop("f").over(w)).otherwise(F.lit(float("nan")))
+    a = t.withColumn("z", z).groupBy(F.col("recording").cast("long").alias("grp"), "roi").agg(F.sort_array(F.collect_list(F.struct("frame", "z"))).alias("x"))
+    c = P.curve_blocks(a.select("grp", "roi", F.col("x.z").alias("zs"), F.size("x").alias("n")).select("grp", "roi", F.transform("zs", lambda v: v / F.sqrt(F.col("n"))).alias("zs")), 0)
+    r = F.get("rs", F.lit(0))
+    return c.select("roi_a", "roi_b", r6(F.when(~F.isnan(r), r)).alias("r"))
+
+
+@query()
+def q_xcorr_event_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame([(0, 0, 20), (1, 15, 40), (2, 30, 63), (3, 50, 54)], "event int, s int, e int").where("e - s + 1 >= 8")
+    t = trace(spark, sf_dir).join(F.broadcast(e), F.col("frame").between(F.col("s"), F.col("e")))
+    t = t.withColumn("z", zscore(F.col("f"), ["event", "roi"]))
+    a = t.groupBy(F.col("event").cast("long").alias("grp"), "roi").agg(F.sort_array(F.collect_list(F.struct("frame", "z"))).alias("x"))
+    c = P.curve_blocks(a.select("grp", "roi", F.col("x.z").alias("zs")), 4).join(F.broadcast(e), F.col("grp") == F.col("event"))
+    c = c.withColumn("n", F.col("e") - F.col("s") + 1).withColumn("rs", F.transform("rs", lambda x: F.round(x / F.col("n"), 9)))
+    return peak(c, 4).select("event", "roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"))
+
+
+@query()
+def q_shift_surrogate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates(spark, sf_dir, "true").select("roi_a", "roi_b", r6("r").alias("r"), F.col("exceed").cast("long").alias("exceed"), r6("p").alias("p"))
+
+
+@query()
+def q_surrogate_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_summary(surrogates(spark, sf_dir, "true"))
