@@ -123,6 +123,12 @@ def q_corr_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.distances(trace_arrays(spark, sf_dir).where("roi < 60")).select("roi_a", "roi_b", r6("dist").alias("dist"))
 
 
+@query()
+def q_corr_dist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_corr_dist over all regions."""
+    return C.distances(trace_arrays(spark, sf_dir)).select("roi_a", "roi_b", r6("dist").alias("dist"))
+
+
 @query()
 def q_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward linkage of all regions: sequential, tested on hand-made points."""

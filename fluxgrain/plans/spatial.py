@@ -50,6 +50,14 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("roi", r6("share").alias("share"), (F.col("share") < 0.3).alias("keep"))
 
 
+@query()
+def q_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of odd id covered by those of even id: a stand-in for two selections, both of which grow with the table."""
+    p = roi_pixel(spark, sf_dir)
+    c = S.covered(p.where("roi % 2 <> 0"), p.where("roi % 2 = 0"))
+    return c.select("roi", r6("share").alias("share"), (F.col("share") < 0.3).alias("keep"))
+
+
 @query(with_("roi_pixel") + CENTRES + ", d AS (SELECT a.roi, b.roi AS other, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM cen a JOIN cen b ON a.roi <> b.roi AND abs(floor(a.cx / 12) - floor(b.cx / 12)) <= 1 AND abs(floor(a.cy / 12) - floor(b.cy / 12)) <= 1), r AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY dist, other) AS rn FROM d) SELECT roi, other, round(dist, 6) AS dist, rn FROM r WHERE rn <= 5")
 def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = S.neighbours(S.centroids(roi_pixel(spark, sf_dir)), 5, 12.0)
@@ -130,6 +138,12 @@ def q_residual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.residual(grid(spark), S.dilated(roi_pixel(spark, sf_dir).where("roi < 20").select("y", "x"), 2))
 
 
+@query()
+def q_residual_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_residual_image over all regions."""
+    return S.residual(grid(spark), S.dilated(roi_pixel(spark, sf_dir).select("y", "x"), 2))
+
+
 @query(with_("roi_pixel") + GRID + " SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.99), 6) AS p99, round(sum(v * v), 3) AS energy FROM g")
 def q_residual_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark).agg(r6(F.avg("v")).alias("mean"), r6(F.percentile("v", 0.99)).alias("p99"), F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy"))
@@ -158,7 +172,17 @@ def q_image_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("roi_pixel") + GRID + ", c AS (SELECT roi, CAST(round_even(avg(y), 0) AS BIGINT) AS cy, CAST(round_even(avg(x), 0) AS BIGINT) AS cx FROM roi_pixel WHERE roi < 40 GROUP BY roi), p AS (SELECT roi, i, j, coalesce(g.v, 0) AS v FROM c CROSS JOIN (SELECT unnest(range(-4, 4)) AS i) CROSS JOIN (SELECT unnest(range(-4, 4)) AS j) LEFT JOIN g ON g.y = cy + i AND g.x = cx + j) SELECT roi, count(*) AS n, round(sum(v), 6) AS total FROM p GROUP BY roi")
 def q_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = roi_pixel(spark, sf_dir).where("roi < 40").groupBy("roi").agg(F.bround(F.avg("y"), 0).cast("long").alias("cy"), F.bround(F.avg("x"), 0).cast("long").alias("cx"))
+    return patches(spark, roi_pixel(spark, sf_dir).where("roi < 40"))
+
+
+@query()
+def q_patches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_patches over all regions."""
+    return patches(spark, roi_pixel(spark, sf_dir))
+
+
+def patches(spark: SparkSession, pixels: DataFrame) -> DataFrame:
+    c = pixels.groupBy("roi").agg(F.bround(F.avg("y"), 0).cast("long").alias("cy"), F.bround(F.avg("x"), 0).cast("long").alias("cx"))
     o = F.explode(F.expr("flatten(transform(sequence(-4, 3), i -> transform(sequence(-4, 3), j -> struct(i, j))))"))
     p = c.select("roi", "cy", "cx", o.alias("p")).select("roi", (F.col("cy") + F.col("p.i")).alias("y"), (F.col("cx") + F.col("p.j")).alias("x"))
     return p.join(grid(spark), ["y", "x"], "left").groupBy("roi").agg(F.count("*").alias("n"), r6(F.sum(F.coalesce("v", F.lit(0.0)))).alias("total"))
@@ -167,6 +191,6 @@ def q_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_merge_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent acceptance by overlap: sequential on candidate pairs, tested against a plain loop."""
-    p = roi_pixel(spark, sf_dir).where("roi < 120")
-    kept = S.merge_by_iou(S.overlaps(p, p), list(range(120)))
+    p = roi_pixel(spark, sf_dir)
+    kept = S.merge_by_iou(S.overlaps(p, p), sorted(r["roi"] for r in p.select("roi").distinct().collect()))
     return spark.createDataFrame([(int(k),) for k in kept], "roi long")

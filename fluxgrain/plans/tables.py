@@ -92,6 +92,14 @@ def q_union_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.unionByName(s, allowMissingColumns=True)
 
 
+@query()
+def q_union_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_union_pad over all orders and suppliers."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
+    return o.unionByName(s, allowMissingColumns=True)
+
+
 @query("WITH a AS (SELECT DISTINCT l_partkey % 97 AS k FROM lineitem WHERE l_quantity > 48), b AS (SELECT DISTINCT o_custkey % 97 AS k FROM orders WHERE o_totalprice > 300000) SELECT 'union' AS op, k FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'both', k FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'minus', k FROM (SELECT k FROM a EXCEPT SELECT k FROM b)")
 def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read(spark, sf_dir, "lineitem").where("l_quantity > 48").select((F.col("l_partkey") % 97).alias("k"))
@@ -106,6 +114,13 @@ def q_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.wide(t, "frame", "roi", "f", range(8))
 
 
+@query()
+def q_pivot_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_pivot_wide over all regions, a column each."""
+    t = trace(spark, sf_dir).withColumn("f", r6("f"))
+    return sinks.wide(t, "frame", "roi", "f", sorted(r["roi"] for r in t.select("roi").distinct().collect()))
+
+
 @query("SELECT unnest(['rois', 'frames', 'labels']) AS key, unnest([count(*)::VARCHAR, max(len(embedding))::VARCHAR, count(DISTINCT label)::VARCHAR]) AS value FROM embeddings")
 def q_meta_key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")

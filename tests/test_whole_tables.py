@@ -6,7 +6,7 @@ import pytest
 
 from fluxgrain.plans.all_queries import FLAGSHIP  # noqa: F401  (registers all queries)
 from fluxgrain.plans.registry import QUERIES
-from fluxgrain.sources.standins import trace_arrays
+from fluxgrain.sources.standins import cluster, trace_arrays
 
 pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
 PAIRS = [("xcorr_curve", 21, ["roi_a", "roi_b", "k"]), ("xcorr_best", 1, ["roi_a", "roi_b"]), ("raw_xcorr", 1, ["roi_a", "roi_b"]), ("xcorr_event", 3, ["event", "roi_a", "roi_b"]), ("zero_lag", 0, ["roi_a", "roi_b"]), ("shift_surrogate", 0, ["roi_a", "roi_b"])]
@@ -20,3 +20,26 @@ def test_all_pairs(spark, sf, name, a_pair, key):
     assert len(every) > len(few) and (not a_pair or len(every) == a_pair * n * (n - 1) // 2)
     for k, row in few.items():
         assert every[k] == pytest.approx(row, abs=2e-6)
+
+
+def test_cluster_pair_stats_hold_all_regions(spark, sf):
+    n = {}
+    for r in cluster(spark, sf).groupBy("cluster").count().collect():
+        n[r["cluster"]] = r["count"]
+    got = {r["pair"]: r["n"] for r in QUERIES["q_cluster_pair_stats"](spark, sf).collect()}
+    assert got == {f"{a}x{b}": n[a] * n[b] for a in n for b in n if a < b and n[a] * n[b] >= 10}
+
+
+def test_merged_rois_come_from_all_regions(spark, sf):
+    ids = [r["roi"] for r in trace_arrays(spark, sf).select("roi").collect()]
+    assert max(r["roi"] for r in QUERIES["q_merge_rois"](spark, sf).collect()) >= 120 or max(ids) < 120
+
+
+def test_other_whole_tables(spark, sf):
+    get = lambda q: {tuple(r) for r in QUERIES[q](spark, sf).collect()}
+    n = trace_arrays(spark, sf).count()
+    assert len(get("q_corr_dist_all")) == n * (n - 1) // 2 and get("q_patches") <= get("q_patches_all") and len(get("q_patches_all")) == n
+    assert get("q_union_pad") < get("q_union_pad_all")
+    assert len(QUERIES["q_pivot_wide_all"](spark, sf).columns) == n + 1
+    few, every = ({tuple(r)[:3]: r["r"] for r in QUERIES[q](spark, sf).collect()} for q in ("q_xcorr_from_sync", "q_xcorr_from_sync_all"))
+    assert few.items() and all(every[k] == pytest.approx(v, abs=2e-6) for k, v in few.items())
