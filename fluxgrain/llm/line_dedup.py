@@ -11,8 +11,8 @@ A window that a third of all documents hold costs one aggregated row and one joi
 Lines are compared without white space at their ends and with A-Z lower-cased, by 64-bit hashes.
 
 Defined cases: null and empty texts have no lines with words and stay; blank lines belong to no window, break no run and go with
-the run around them; rows that share a doc_id are the same document, for which the row of least text stands; rows with a null
-doc_id are left alone; an empty table gives an empty result; extra columns are ignored.
+the run around them; rows that share doc_id and text are the same document, other texts of a doc_id are documents of their own,
+ordered by a hash of the text; rows with a null doc_id are left alone; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,10 +97,11 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, spans: the line numbers [a, b] of each document's later repeated runs."""
+    """doc_id, tie (a hash of the text), spans: the line numbers [a, b] of each document's later repeated runs."""
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    kind = f"struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, tie: long>"
+    known = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64(text).alias("tie")).alias("id"), text.alias("text"))
     table = known.mapInArrow(scanner(least), f"id {kind}, lines array<long>, numbers array<long>, keys array<long>, ends array<long>, starts array<long>")
     table = saved(table, "lines")
     rows = table.select("id", F.explode(F.arrays_zip("keys", "starts", "ends")).alias("w")).select("id", F.col("w.keys").alias("key"), F.col("w.starts").alias("s"), F.col("w.ends").alias("e"))
@@ -116,13 +117,14 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     both = runs.join(one, "id").join(one.select(F.col("id").alias("id0"), F.col("lines").alias("first")), "id0")
     both = both.select("id", "s", "e", "s0", "lines", "numbers", "first")
     spans = both.mapInArrow(_extend, f"id {kind}, a long, b long")
-    return spans.groupBy(F.col("id").alias("doc_id")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    return spans.groupBy(F.col("id.doc_id").alias("doc_id"), F.col("id.tie").alias("tie")).agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with text without its later repeated runs, and n_lines, n_removed (in the place of columns so named)."""
-    spans = saved(repeats(docs, least).select(F.col("doc_id").alias("_fg_of"), F.col("spans").alias("_fg_spans")), "spans")
-    found = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("_fg_of"), "left").drop("_fg_of")
+    spans = saved(repeats(docs, least).select(F.col("doc_id").alias("_fg_of"), F.col("tie").alias("_fg_tie"), F.col("spans").alias("_fg_spans")), "spans")
+    same = (F.col("doc_id") == F.col("_fg_of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_fg_tie"))
+    found = docs.join(spans.hint("merge"), same, "left").drop("_fg_of", "_fg_tie")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("_fg_spans", lambda s: (s["a"] <= i) & (i <= s["b"])))
     cut = F.col("_fg_spans").isNotNull() & F.col("text").isNotNull()

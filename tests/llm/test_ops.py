@@ -303,6 +303,14 @@ def test_line_dedup_of_null_ids_and_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
 
 
+def test_line_dedup_of_repeated_ids_with_other_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    only = ["p q", "r s"]
+    rows = [(0, a), (1, "\n".join(["x", "y", "z", a])), (1, "\n".join(only)), (1, "\n".join([*only, "t", b])), (2, "u\n" + b)]
+    got = table(line_dedup.dedup_lines(docs(spark, rows)), "doc_id", "text")
+    assert got == sorted([(0, a), (1, "x\ny\nz"), (1, "p q\nr s"), (1, "\n".join([*only, "t", b])), (2, "u")], key=repr)
+
+
 # --- 9 n-gram join
 
 
