@@ -1,15 +1,21 @@
 """Main-text extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element. Each line has a text length, which is 0 for what the markup itself
-marks as no article: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles, mostly-link blocks
-and, in a page with an article or main element, all lines outside it. Lengths are summed over sliding windows of WINDOW lines.
-Where the sums rise to the threshold a surge begins, where they fall to nothing it dives; the lines with text between surge and
-dive are kept. In a page whose article is marked, any text makes a surge; elsewhere it takes SURGE code points in a window, and
-a page without any such surge keeps its unmarked lines.
-
-Defined cases: null html counts as empty and gives an empty text; unclosed elements end with their parents; unclosed comments,
-scripts and tags are dropped to the end of the page; character references are decoded once; white space inside a block becomes
-one space, a line break element too; repeated rows are extracted each; extra columns are ignored.
+Markup is stripped to lines, one for each block element. A line has a text length: its code points outside links
+(in headings, links count too); 0 for what
+markup itself names as no article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and, in a page
+with text in an article or main element, for all lines outside it. Lengths are summed over sliding windows of WINDOW lines. Where
+the sums rise from nothing to the threshold a surge begins, where they fall to nothing again it dives; the lines between the two
+points are the text, from the first to the last one that has a length. A stretch whose sums stay under the threshold is no
+article, inside an article element too. The threshold is SURGE code points, or half of the page's largest sum where that is less,
+so that a page of a few words keeps them.
+
+Elements are matched by their exact names, roles and whole class or id names; attributes are parsed, so that words in other
+attributes or inside longer names say nothing.
+
+Defined cases: null and empty html give an empty text; very long html is read once from left to right, in memory for one page;
+unclosed elements end with their parents; unclosed comments, scripts and tags are dropped to the end of the page; character
+references are decoded once; white space inside a block becomes one space, a line break element too; repeated rows are extracted
+each; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,77 +34,87 @@ from fluxgrain.llm.common import slices, small_batches
 WINDOW = 3
 SURGE = 80
 
-# fixed values: element names and class words
+# fixed values: element names, roles and whole class or id names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|object|svg|math|title|select|canvas|audio|video"
+RAW = "script|style|noscript|template|textarea|iframe|title|select|canvas|audio|video"
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROP = frozenset("nav aside footer form button dialog menu head".split())
-OUTSIDE_ONLY = frozenset({"header"})
-WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list commentlist cookie cookies cookie-banner cookie-notice disqus footer masthead menu navbar navigation newsletter notice notices pagination popup promo reader-comments related-links share-buttons sidebar site-footer site-header skip-link social-links sponsored subscribe toolbar".split()
 )
-OUTSIDE_WORDS = frozenset("header top".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
+CLOSES = {"head": BLOCKS - {"head", "html"}, "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S | re.I)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?(true)", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTES = r"(?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether the element's name, classes, id or role say that it isn't part of an article."""
-    if name in DROP or name in OUTSIDE_ONLY and not inside:
-        return True
+def _marked(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element's name or role says that it is no part of an article, and whether its class or id says so."""
+    if name in DROP or name == "header" and not inside:
+        return True, False
     if not attributes or name in ("html", "body", "main"):
-        return False
-    for kind, a, b, c, hidden, aria in _NAMES.findall(attributes):
-        if hidden or aria:
-            return True
-        value = (a or b or c).lower()
-        if kind.lower() == "role":
-            if value.strip() in ROLES:
-                return True
-            continue
-        words = set(_SPLIT.split(value))
-        if words & WORDS or words & OUTSIDE_WORDS and not inside:
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """Of each block with text: text, whether marked as no article, whether in an article or main element, code points in links."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
-    marked = inside = links = 0
+        return False, False
+    named = False
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (a or b or c).lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in ROLES:
+            return True, False
+        if key in ("class", "id") and not NAMES.isdisjoint(value.split()):
+            named = True
+    return False, named
+
+
+class Line(NamedTuple):
+    text: str
+    marked: bool  # no article, by an element's name or role
+    named: bool  # no article, by a class or id
+    inside: bool  # in an article or main element
+    linked: int  # code points in links
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks with text."""
+    out: list[Line] = []
+    stack: list[tuple[str, tuple[bool, bool]]] = []
+    open_: dict[str, int] = {}  # how many elements of each name are open
+    marked = named = inside = links = heads = 0
     text: list[str] = []
     linked = 0
 
+    def add(node: str) -> None:
+        nonlocal linked
+        text.append(node)
+        if links and not heads:
+            linked += len("".join(node.split()))
+
     def flush() -> None:
         nonlocal linked
         if text:
             if joined := " ".join("".join(text).split()):
-                out.append((joined, marked > 0, inside > 0, linked))
+                out.append(Line(joined, marked > 0, named > 0, inside > 0, linked))
             text.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal marked, inside, links
+        nonlocal marked, named, inside, links, heads
         while len(stack) > k:
-            name, flag = stack.pop()
-            marked -= flag
+            name, flags = stack.pop()
+            open_[name] -= 1
+            marked -= flags[0]
+            named -= flags[1]
             inside -= name in ("article", "main")
             links -= name == "a"
+            heads -= name in HEADS
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            node = html.unescape(page[at : m.start()])
-            text.append(node)
-            if links:
-                linked += len(node.strip())
+            add(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m[3]
         if name is None:
@@ -109,10 +126,11 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if name in BLOCKS:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            if open_.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop_to(k)
         elif name not in VOID:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES and name in CLOSES[stack[k][0]]:
@@ -120,45 +138,57 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-            flag = _marked(name, m[4], inside > 0)
+            flags = _marked(name, m[4], inside > 0)
             if m[4].endswith("/") and name not in BLOCKS:
                 continue
-            stack.append((name, flag))
-            marked += flag
+            stack.append((name, flags))
+            open_[name] = open_.get(name, 0) + 1
+            marked += flags[0]
+            named += flags[1]
             inside += name in ("article", "main")
             links += name == "a"
-    if at < len(page) and not re.match(r"<[a-zA-Z/!?]", page[at:].lstrip()):
-        tail = page[at:]
-        cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", tail)
-        text.append(html.unescape(tail[: cut.start()] if cut else tail))
+            heads += name in HEADS
+    if at < len(page):
+        add(html.unescape(page[at:]))
     flush()
     return out
 
 
-def extract(page: str) -> str:
-    """The main text of a page, its blocks joined by line feeds."""
-    found = lines(page)
-    whole = any(inside and not marked for _, marked, inside, _ in found)
-    size = [0 if marked or (whole and not inside) or (not inside and 2 * linked > len(text)) else len(text) for text, marked, inside, linked in found]
+def lengths(found: list[Line]) -> list[int]:
+    """The text length of each line."""
+    size = [0 if x.marked or x.named else max(0, len("".join(x.text.split())) - x.linked) for x in found]
+    if any(n and x.inside for n, x in zip(size, found, strict=True)):
+        size = [n if x.inside else 0 for n, x in zip(size, found, strict=True)]
+    return size
+
+
+def stretches(size: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last line of each stretch between a surge and its dive."""
     n = len(size)
-    total = [0] * (n + 1)
-    for i, x in enumerate(size):
-        total[i + 1] = total[i] + x
-    sums = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    keep = [False] * n
-    i = 0
+    upto = [0] * (n + window)
+    for i in range(n + window - 1):
+        upto[i + 1] = upto[i] + (size[i] if i < n else 0)
+    sums = [upto[i + window] - upto[i] for i in range(n)]
+    least = min(surge, max(sums, default=0) / 2)
+    out, i = [], 0
     while i < n:
-        if sums[i] < (1 if whole else SURGE):
+        if not sums[i]:
             i += 1
             continue
-        j = i
-        while j < n and sums[j] > 0:  # the dive: nothing in the window ahead
-            keep[j] = True
-            j += 1
-        i = j
-    if not any(keep):
-        keep = [x > 0 for x in size]
-    return "\n".join(text for (text, *_), x, k in zip(found, size, keep, strict=True) if k and x)
+        first = i
+        while i < n and sums[i]:
+            i += 1
+        if max(sums[first:i]) >= least:  # the window of the surge's first line may begin before the text, that of its last ends with it
+            while not size[first]:
+                first += 1
+            out.append((first, i - 1))
+    return out
+
+
+def extract(page: str) -> str:
+    """The main text of a page, its blocks joined by line feeds."""
+    found = lines(page)
+    return "\n".join(x.text for a, b in stretches(lengths(found)) for x in found[a : b + 1] if not x.marked and not x.named)
 
 
 def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
