@@ -296,6 +296,24 @@ def test_line_dedup(spark):
     assert got == plain_lines(rows, 12)
 
 
+def test_line_dedup_takes_blank_lines_with_runs_and_long_documents(spark):
+    rng = random.Random(16)
+    pool = [" ".join(random_words(rng, n, 50)) for n in (25, 14, 13, 5, 2, 0, 30, 12)]
+    runs = [[rng.choice(pool) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(rng.randrange(1, 5)) for x in [*rng.choice(runs), *([""] if rng.random() < 0.5 else [f"only {i}"])])) for i in range(80)]
+    rows.append((80, "\n".join(x for _ in range(400) for x in rng.choice(runs))))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows), 12).collect()}
+    assert got == plain_lines(rows, 12)
+
+
+def test_line_dedup_selects_fewer_fingerprints_than_windows():
+    rng = np.random.default_rng(3)
+    hashes, words = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(1, 9, 3000)
+    start, end, at, _ = line_dedup.windows(hashes, words, 20)
+    assert all(hashes[a] == hashes[s : e + 1].min() for s, e, a in zip(start, end, at, strict=True))
+    assert len(np.unique(at)) < 0.6 * len(start)
+
+
 def test_line_dedup_of_null_ids_and_nothing(spark):
     long_line = " ".join(f"w{i}" for i in range(60))
     got = line_dedup.dedup_lines(docs(spark, [(None, long_line), (None, long_line), (1, long_line), (2, "x\n" + long_line)])).collect()
