@@ -82,7 +82,7 @@ _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("p", ())) < n:
         size = max(n, 1 << 16)
         for key, base in (("p", _B), ("q", _BINV)):
@@ -108,7 +108,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
         lo, hi = int(start[i]), int(end[j - 1])
-        p, q = _powers(hi - lo + 1)
+        p, q = powers(hi - lo + 1)
         h = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * p[: hi - lo], out=h[1:])
         s, e = start[i:j] - lo, end[i:j] - lo

@@ -244,6 +244,23 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in none.collect()} == {"allow"}
 
 
+def test_url_filter_of_many_lengths_long_urls_and_nothing(spark):
+    rng = random.Random(7)
+    words = lambda n: "".join(rng.choice("abé/") for _ in range(n))
+    rules = [(rng.choice(["net", "x.net", "a.b.x.net", "org"]), "/" + words(n), rng.choice(["block", "allow"])) for n in range(120) for _ in range(2)]
+    rules = list({(h, p): (h, p, v) for h, p, v in sorted(rules, key=lambda r: r[2])}.values()) + [(None, "/", "block"), ("net", None, "block")]
+    known = [r for r in rules if r[0] and r[1]]
+    urls = [f"http://{rng.choice(['', 'y.', 'a.b.'])}{h}{p}{words(rng.randrange(4))}" for h, p, _ in known]
+    urls += ["http://" + "l." * 50_000 + "x.net/" + "a" * 50_000, "http://" + "l." * 8000 + "org" + known[-1][1]]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    for c in ("host", "path", "verdict", "u", "best"):
+        pages = pages.withColumn(c, F.lit("z"))
+    list_ = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = table(urlfilter.judge(pages, list_), "page_id", "host", "path", "rule", "verdict")
+    assert got == sorted(((i, *plain_judge(u, known)) for i, u in enumerate(urls)), key=repr)
+    assert urlfilter.judge(pages.limit(0), list_).count() == 0
+
+
 def test_bloom_has_no_false_negatives():
     rng = np.random.default_rng(5)
     b, h = urlfilter.BlockedBloom(2000), rng.integers(-(2**63), 2**63, 2000)
