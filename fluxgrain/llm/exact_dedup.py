@@ -8,8 +8,9 @@ texts are then compared chunk by chunk as a stream of (class, chunk number, chun
 the shuffle, so that a class may hold any share of all rows. Classes found to differ are split by their SHA-256.
 
 Defined cases: null text counts as empty; all empty texts are one class; ties (equal code points) keep the smallest doc_id,
-a null doc_id counting as larger than any; repeated rows are rows of their class like any others; an empty table gives an
-empty result; extra columns are ignored.
+a null doc_id counting as larger than any; repeated rows are rows of their class like any others, all of them kept where one
+is (they are one document); very long texts are dealt out in pieces; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,41 +89,51 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint(docs: DataFrame, piece: int = 1 << 20) -> DataFrame:
-    """doc_id, n_cp, n_norm, fp1, fp2, text_sha256 for each row. Texts over piece code points are cut, dealt out and combined."""
+    """doc_id, n_cp, n_norm, fp1, fp2, text_sha256 for each row. Normalised texts over piece code points are cut, dealt out by
+    their SHA-256 and piece (equal texts once), hashed, and combined by length-shifted arithmetic in an aggregate."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_cp"))
-    schema = "doc_id {0}, n_cp long, n_norm long, fp1 long, fp2 long, text_sha256 string".format(docs.schema["doc_id"].dataType.simpleString())
-    small = base.where(F.col("n_cp") <= piece).mapInArrow(_kernel, schema)
-    huge = base.where(F.col("n_cp") > piece).withColumn("row", F.monotonically_increasing_id())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    small = base.where(F.col("n_cp") <= piece).mapInArrow(_kernel, f"doc_id {kind}, n_cp long, n_norm long, fp1 long, fp2 long, text_sha256 string")
     ink = F.translate("text", WS_CHARS, "")
-    cut = F.expr(f"transform(sequence(0, cast((n_cp - 1) div {piece} as int)), i -> struct(i AS nth, substring(text, i * {piece} + 1, {piece}) AS text))")
-    pieces = huge.select("row", F.explode(cut).alias("x")).select("row", "x.nth", "x.text").repartition("row", "nth")
-    hashed = pieces.mapInArrow(_kernel, "row long, nth int, n_norm long, fp1 long, fp2 long, text_sha256 string")
-    joined = hashed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "n_norm", "fp1", "fp2"))).alias("xs"))
-    fold = F.udf(lambda xs: _fold([tuple(x)[1:] for x in xs]), "n_norm long, fp1 long, fp2 long")
-    whole = huge.select("row", "doc_id", "n_cp", F.sha2(ink.cast("binary"), 256).alias("text_sha256"))
-    big = whole.join(joined.select("row", fold("xs").alias("f")), "row").select("doc_id", "n_cp", "f.n_norm", "f.fp1", "f.fp2", "text_sha256")
-    return small.unionByName(big)
+    huge = base.where(F.col("n_cp") > piece).select("doc_id", "n_cp", ink.alias("text")).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    cut = F.expr(f"transform(sequence(0, cast(length(text) div {piece} as int)), i -> struct(i AS nth, substring(text, i * {piece} + 1, {piece}) AS text))")
+    pieces = huge.select(F.col("text_sha256").alias("of"), F.explode(cut).alias("x")).select("of", "x.nth", "x.text").repartition("of", "nth").dropDuplicates(["of", "nth"])
+    hashed = pieces.mapInArrow(_kernel, "of string, nth int, n_norm long, fp1 long, fp2 long, text_sha256 string")
+    shifts = [power(F.col("n_norm"), r, p).alias(f"r{i}") for i, (r, p) in enumerate(zip(BASES, PRIMES, strict=True), 1)]
+    joined = hashed.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("nth", "n_norm", "fp1", "fp2", *shifts))).alias("xs"))
+    zero = F.expr("named_struct('n_norm', 0L, 'fp1', 0L, 'fp2', 0L, 'r1', 1L, 'r2', 1L)")
 
+    def put(a: Column, x: Column) -> Column:
+        """H(ab) = H(a) + r^|a| H(b), and r^|ab| = r^|a| r^|b|."""
+        fp = [((a[f"fp{i}"] + a[f"r{i}"] * x[f"fp{i}"]) % p).alias(f"fp{i}") for i, p in enumerate(PRIMES, 1)]
+        return F.struct((a["n_norm"] + x["n_norm"]).alias("n_norm"), *fp, *((a[f"r{i}"] * x[f"r{i}"] % p).alias(f"r{i}") for i, p in enumerate(PRIMES, 1)))
 
-def _fold(parts: list[tuple[int, ...]]) -> tuple[int, ...]:
-    fp = (0, 0, 0)
-    for x in parts:
-        fp = combine(fp, x)
-    return fp
+    whole = joined.select("of", F.aggregate("xs", zero, put).alias("f"))
+    big = huge.select("doc_id", "n_cp", "text_sha256").join(whole, F.col("text_sha256") == F.col("of"))
+    return small.unionByName(big.select("doc_id", "n_cp", "f.n_norm", "f.fp1", "f.fp2", "text_sha256"))
+
+
+def power(n: Column, base: int, prime: int) -> Column:
+    """base^n mod prime for n < 2^40, by squares that are known beforehand."""
+    out = F.lit(1).cast("long")
+    steps = F.array(*(F.struct(F.lit(1 << i).cast("long").alias("bit"), F.lit(pow(base, 1 << i, prime)).cast("long").alias("square")) for i in range(40)))
+    return F.aggregate(steps, out, lambda x, s: F.when(n.bitwiseAND(s["bit"]) != 0, x * s["square"] % prime).otherwise(x))
 
 
 def differing(docs: DataFrame, members: DataFrame, chunk: int = 1 << 16) -> DataFrame:
-    """Keys of the classes whose normalised texts are not all equal, found by streaming comparison of chunks."""
+    """Keys of the classes whose normalised texts are not all equal, found by streaming comparison of chunks. Texts find their class
+    by SHA-256, so that ids which repeat or are null multiply nothing."""
     key = ["n_norm", "fp1", "fp2"]
     text = F.translate(F.coalesce("text", F.lit("")), WS_CHARS, "")
-    rows = docs.select("doc_id", text.alias("t")).join(members.select(F.col("doc_id").alias("m"), *key), F.col("doc_id").eqNullSafe(F.col("m")))
+    of = saved(members.select(F.col("text_sha256").alias("m"), *key).distinct(), "members")
+    rows = docs.select(text.alias("t")).withColumn("sha", F.sha2(F.col("t").cast("binary"), 256)).join(of, F.col("sha") == F.col("m"))
     cut = F.expr(f"transform(sequence(0, cast(length(t) div {chunk} as int)), i -> struct(i AS nth, substring(t, i * {chunk} + 1, {chunk}) AS part))")
     parts = rows.select(*key, F.explode(cut).alias("x")).select(*key, "x.nth", "x.part").distinct()
     return parts.groupBy(*key, "nth").count().where("count > 1").select(*key).distinct()
 
 
-def dedup(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_norm."""
     small_batches(docs.sparkSession)
     key = ["n_norm", "fp1", "fp2"]
@@ -142,7 +153,7 @@ def dedup(docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_cp") == -F.col("best.short"))).alias("kept"),
         "text_sha256",
         "n_norm",
     )
