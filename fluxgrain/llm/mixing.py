@@ -1,26 +1,27 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key, ``md5(seed : doc_id)``. Each source is range-sorted by the key: the key's leading hex digits
-name one of 4096 ranges, so that a source of any share of the rows is cut into that many stretches. Prefix sums of the sizes
-are distributed: sums by (source, range), a running total over those few rows of a source, and a running sum inside each range.
-The whole epochs that a target holds repeat every document of the source; the rest is cut from the sorted order at exactly the
-source's budget, the document at the cut giving its leading words only.
+Every row gets a hash-random key, ``md5(seed : doc_id)``, of the text where there is no doc_id. Each source is range-sorted by the
+key: the key's leading hex digits name one of 4096 ranges, so that a source of any share of the rows is cut into that many
+stretches. Prefix sums of the sizes are distributed: sums by (source, range), a running total over those few rows of a source, and
+a running sum inside each range. The whole epochs that a target holds repeat every document of the source; the rest is cut from
+the sorted order at exactly the source's budget, the document at the cut giving its leading words only.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share 150% of all sizes. A target stops at twice its
 source's size; the excess is shared again by weight. In closed form, with sources ordered by (2 * size / weight), the saturated
 ones are a prefix of that order.
 
 Defined cases: null text has size 0 and takes 0; null sources are one source; ties of the key go by doc_id and then text, so
-reruns agree; repeated rows count each; if all sizes are 0 all targets are 0; an empty table gives an empty result; extra
-columns are ignored. The table of sources (one row each) is assumed to be small beside the documents.
+that reruns agree; repeated rows count each and cost one row each; very long texts are counted whole; if all sizes are 0 all targets
+are 0; an empty table gives an empty result; extra columns are ignored by mix() and pass through mixed(), whose own are named
+mix_epoch, mix_words and mix_target. The table of sources (one row each) is assumed to be small beside the documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxgrain.llm.common import WORD_CLASS, saved
+from fluxgrain.llm.common import WORD_CLASS, WS_CLASS, saved
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -42,41 +43,63 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, tie (a hash of the text) for each row of docs."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
-    rows = saved(rows.withColumn("range", F.substring("key", 1, 3)), "mixing")
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+def planned(rows: DataFrame) -> DataFrame:
+    """rows (saved; _fg_key, _fg_id, _fg_tie, _fg_source, _fg_range, _fg_size and any others) with _fg_source_size, _fg_target,
+    _fg_epochs (whole ones) and _fg_part (words of the last epoch, which is cut)."""
+    ranges = rows.groupBy(F.col("_fg_source").alias("source"), F.col("_fg_range").alias("range")).agg(F.sum("_fg_size").alias("range_size"))
     sources = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    ranges = ranges.withColumnRenamed("source", "s")
-    sources = sources.withColumnRenamed("source", "s2")
-    plan = ranges.join(sources, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    plan = plan.withColumnRenamed("range", "r")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    budget = F.floor(F.col("target")) - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before") - F.col("inside")))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "source", "tie")
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).withColumnRenamed("source", "s")
+    plan = ranges.join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    plan = plan.select(*(F.col(c).alias(f"_fg_p_{c}") for c in plan.columns))
+    inside = Window.partitionBy("_fg_source", "_fg_range").orderBy("_fg_key", "_fg_id", "_fg_tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_fg_inside", F.coalesce(F.sum("_fg_size").over(inside), F.lit(0)))
+    rows = rows.join(plan, F.col("_fg_source").eqNullSafe(F.col("_fg_p_s")) & (F.col("_fg_range") == F.col("_fg_p_range")))
+    total, target = F.col("_fg_p_source_size"), F.col("_fg_p_target")
+    epochs = F.when(total > 0, F.floor(target / total)).otherwise(0)
+    budget = F.floor(target) - epochs * total
+    part = F.greatest(F.lit(0), F.least(F.col("_fg_size"), budget - F.col("_fg_p_before") - F.col("_fg_inside")))
+    return rows.select(*rows.columns[: rows.columns.index("_fg_inside")], total.alias("_fg_source_size"), target.alias("_fg_target"), epochs.alias("_fg_epochs"), part.alias("_fg_part"))
+
+
+def keyed(docs: DataFrame, seed: int) -> list[Column]:
+    """What planned() needs of each row. Rows without an id are spread by their text."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
+    return [F.col("doc_id").alias("_fg_id"), F.xxhash64("text").alias("_fg_tie"), F.col("source").alias("_fg_source"), size.alias("_fg_size"), key.alias("_fg_key"), F.substring(key, 1, 3).alias("_fg_range")]
+
+
+def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, tie (a hash of the text) for each row of docs."""
+    rows = planned(saved(docs.select(*keyed(docs, seed)), "mixing"))
+    taken = (F.col("_fg_epochs") * F.col("_fg_size") + F.col("_fg_part")).cast("long")
+    named = [F.col(f"_fg_{c}").alias(c) for c in ("size", "source_size", "target")]
+    return rows.select(F.col("_fg_id").alias("doc_id"), *named, taken.alias("taken"), F.col("_fg_source").alias("source"), F.col("_fg_tie").alias("tie"))
 
 
 def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of docs that the mix takes words of, with size, target (their source's) and taken. Equal rows must not repeat."""
-    plan = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"_fg_{c}") for c in ("doc_id", "tie", "size", "target", "taken")))
-    found = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_fg_doc_id")) & F.xxhash64("text").eqNullSafe(F.col("_fg_tie")))
-    given = [c for c in docs.columns if c not in ("size", "target", "taken")]
-    return found.select(*given, *(F.col(f"_fg_{c}").alias(c) for c in ("size", "target", "taken")))
+    """The mix: the columns of docs, a row for each epoch that takes words of a document, and mix_epoch (from 0), mix_words (words
+    of the row), mix_target (its source's; columns so named are replaced). In the epoch that is cut, the document at the cut has
+    its leading words only."""
+    rows = planned(saved(docs.select("*", *keyed(docs, seed)), "mixing"))
+    whole = F.transform(F.sequence(F.lit(1), F.col("_fg_epochs").cast("int")), lambda i: F.struct((i - 1).cast("int").alias("epoch"), F.col("_fg_size").alias("words")))
+    none = F.expr("cast(array() as array<struct<epoch: int, words: bigint>>)")
+    last = F.array(F.struct(F.col("_fg_epochs").cast("int").alias("epoch"), F.col("_fg_part").cast("long").alias("words")))
+    taken = F.concat(F.when((F.col("_fg_epochs") > 0) & (F.col("_fg_size") > 0), whole).otherwise(none), F.when(F.col("_fg_part") > 0, last).otherwise(none))
+    rows = rows.withColumn("_fg_take", F.explode(taken))
+    words = F.regexp_extract_all("text", F.lit(f"{WS_CLASS}*{WORD_CLASS}"), F.lit(0))
+    n = F.col("_fg_take.words")
+    text = F.when(n < F.col("_fg_size"), F.array_join(F.slice(words, F.lit(1), n.cast("int")), "")).otherwise(F.col("text")).alias("text")
+    added = {"mix_epoch": F.col("_fg_take.epoch"), "mix_words": n, "mix_target": F.col("_fg_target")}
+    given = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return rows.select(*given, *(x.alias(c) for c, x in added.items()))
 
 
 MIX_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (

@@ -78,6 +78,21 @@ def test_exact_dedup(spark, piece, monkeypatch):
     assert got == sorted(plain_dedup(ROWS), key=repr)
 
 
+def test_exact_dedup_of_null_and_repeated_ids_is_linear(spark):
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 50).cast("string")).alias("text"), *(F.lit(0).alias(c) for c in ("n_norm", "fp1", "text_sha256", "row")))
+    got = exact_dedup.dedup(df)
+    assert {r["group_size"] for r in got.select("group_size").distinct().collect()} == {200} and got.count() == 10_000
+    fps = exact_dedup.fingerprint(df)
+    assert exact_dedup.differing(df, fps).collect() == []
+
+
+def test_exact_dedup_combines_pieces_as_one_text(spark):
+    rows = [(1, "é x" * 3000), (2, "é x" * 3000), (3, "éx " * 3000), (4, "y" * 8999)]
+    whole, cut = (table(exact_dedup.fingerprint(docs(spark, rows), piece), "doc_id", "n_cp", "n_norm", "fp1", "fp2", "text_sha256") for piece in (1 << 20, 700))
+    assert whole == cut
+    assert exact_dedup.dedup(docs(spark, [])).collect() == []
+
+
 def test_exact_dedup_splits_equal_fingerprints(spark, monkeypatch):
     same = spark.createDataFrame([(i, len(t), 5, 1, 1, hashlib.sha256(t.encode()).hexdigest()) for i, t in ((1, "abcde"), (2, "abcde"), (3, "edcba"))], "doc_id long, n_cp long, n_norm long, fp1 long, fp2 long, text_sha256 string")
     monkeypatch.setattr(exact_dedup, "fingerprint", lambda d: same)
@@ -122,6 +137,28 @@ def test_mixing(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mixed_is_the_mix(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(random_words(rng, rng.randrange(30))) or None, rng.choice(["b", "a", None, "hot", "hot", "hot"])) for i in range(200)]
+    rows += [(None, "n one two", "a")] * 20 + [(7, "again and again", "b")] * 20 + [(None, f"null {i}", "hot") for i in range(30)]
+    d = docs(spark, rows)
+    plan = mixing.mix(d)
+    taken = {r["source"]: r["t"] for r in plan.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    out = mixing.mixed(d).collect()
+    got = {}
+    for r in out:
+        n = len(WORD.findall(r["text"]))
+        assert n == r["mix_words"] > 0 and r["size"] == 1
+        got[r["source"]] = got.get(r["source"], 0) + n
+    assert got == {s: t for s, t in taken.items() if t}
+    assert len(out) <= 3 * len(rows) and len(mixing.mixed(d.limit(0)).collect()) == 0 == len(mixing.mix(d.limit(0)).collect())
+    whole = {(r[0], r[1]) for r in rows}
+    cut = [r for r in out if (r["doc_id"], r["text"]) not in whole]
+    assert len(cut) <= len(taken) and all(any(i == r["doc_id"] and t.startswith(r["text"]) for i, t in whole if t) for r in cut)
+    one = docs(spark, [(1, "a b c", "s")] * 20 + [(2, "d", "s")])
+    assert mixing.mix(one).count() == 21
+
+
 # --- 3 chat
 
 
