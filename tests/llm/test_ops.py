@@ -471,7 +471,7 @@ def plain_hits(rows, items):
         w = cut(t)
         for j, x in items:
             v = cut(x)
-            if len(v) < 15:
+            if not v:
                 continue
             wide = min(len(v), 20)
             for start in range(-len(v), len(w)):
@@ -505,6 +505,35 @@ def test_decontamination(spark):
     assert decontam.hits(docs(spark, []), bench).collect() == [] and decontam.hits(d, bench.limit(0)).collect() == []
 
 
+def test_decontamination_recall_of_every_length(spark):
+    """Items of 1 to 24 words with 20% of their words substituted at random, in the middle and at the ends of documents."""
+    rng = random.Random(11)
+    items, rows, want = [], [], set()
+    for n in range(1, 25):
+        for r in range(12):
+            j = n * 100 + r
+            v = [f"i{j}x{k}" for k in range(n)]
+            items.append((j, " ".join(v)))
+            for p in rng.sample(range(n), n - -(-n * 80 // 100)):
+                v[p] = f"sub{j}"
+            a, b = random_words(rng, rng.choice([0, 9])), random_words(rng, rng.choice([0, 9]))
+            rows.append((j, " ".join(a + v + b)))
+            want.add((j, j))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.hits(docs(spark, rows), bench).collect()}
+    assert got == want == plain_hits(rows, items) & want
+
+
+def test_decontamination_keeps_clean_rows_of_null_and_repeated_ids(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, "clean one"), (None, item), (None, "clean two"), (7, "clean"), (8, "x " + item), (8, "clean eight")]
+    bench = spark.createDataFrame([(1, item), (1, item), (None, "clean eight")], "item_id long, text string")
+    kept = decontam.decontaminate(docs(spark, rows), bench)
+    assert table(kept, "doc_id", "text") == sorted([(None, "clean one"), (None, "clean two"), (7, "clean")], key=repr)
+    many = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, item).otherwise(F.concat(F.lit("c "), "id")).alias("text"), F.lit(1).alias("tie"), F.lit(1).alias("words"))
+    assert decontam.decontaminate(many, bench).count() == 5000 and decontam.hits(many, bench).count() == 1
+
+
 def test_decontamination_is_native(spark):
     plan = decontam.hits(docs(spark, [(1, "a")]), spark.createDataFrame([(1, "a")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
