@@ -252,6 +252,33 @@ def test_toxicity_held_out(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["toxic"]}
 
 
+def test_toxicity_sample_is_bounded_and_takes_repeated_rows_once(spark):
+    rng = random.Random(13)
+    rows, marks = labelled(rng, 60)
+    labels = spark.createDataFrame(marks * 3, "doc_id long, quality int, toxic int")
+    grades, table_ = toxicity.sample(docs(spark, rows * 4), labels, 40)
+    assert len(grades) == 40 and {r["text"] for r in table_.select("text").distinct().collect()} <= set(range(40))
+    once, _ = toxicity.sample(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), 1000)
+    again, _ = toxicity.sample(docs(spark, rows * 4), labels, 1000)
+    assert once.tolist() == again.tolist() and len(once) == len(marks)
+    same = [(1, "same text here")] * 500 + [(2, "bad")]
+    grades, _ = toxicity.sample(docs(spark, same), spark.createDataFrame([(1, 1, 0)] * 300 + [(2, 1, 1)], "doc_id long, quality int, toxic int"), 10)
+    assert len(grades) == 2
+
+
+def test_toxicity_fit_is_stationary():
+    """No weight's gradient exceeds the penalty, and that of a weight in use equals it."""
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 400)
+    x = rng.random((400, 30)) < np.where(np.arange(30) < 6, 0.1 + 0.3 * grades[:, None], 0.2)
+    row, col = np.nonzero(x)
+    w, theta = toxicity.fit_weights(row, col, np.zeros(30), toxicity.base(grades), grades, 0.01, 3000)
+    by_score, by_theta = toxicity.residuals(x @ w, theta, grades)
+    pull = x.T @ by_score / 400
+    assert np.all(np.abs(pull) <= 0.0103) and np.allclose(pull[w != 0], 0.01 * np.sign(w[w != 0]), atol=4e-4)
+    assert np.all(np.abs(by_theta) / 400 < 1e-3) and np.all(w[:6] > 0)
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(1, "a b"), (2, None)])
     model = toxicity.train(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
