@@ -10,16 +10,18 @@ Texts become sets of 64-bit hashes of k-word shingles. Two documents link when `
    common passages out. If A and B link and |A| <= |B|, they share L of the ``|B| - ceil(|B| * num / den) + L`` rarest tokens
    of B and the ``|A| - ceil(2 * |A| * num / (num + den)) + L`` rarest of A. So the number of a query's rare tokens in a
    group's union bounds its overlap with every member that isn't larger: groups with fewer than L are never opened.
-4. Qualifying groups are opened: their queries and their members, each cut into blocks of about BLOCK tokens by size and
-   hash, meet block by block, where overlaps of whole sets are matrix products. A block puts out a spanning forest of its links, not the links.
+4. Qualifying groups are opened: their queries and their members, each cut into blocks of about BLOCK tokens and SIDE sets by size
+   and hash, meet block by block, where overlaps of whole sets are matrix products of bounded numbers of rows, columns and
+   cells. A block puts out a spanning forest of its links, not the links.
 5. Components of the forests' edges are the result.
 
 Nothing is sampled or capped. Set equality and overlap hold up to collisions of 64-bit hashes.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing; texts of fewer than k
-words have their whole sequence as one shingle; repeated rows are equal documents, and rows that share a doc_id one node; rows
-with a null doc_id get a null component unless a doc_id is reachable; an empty table gives an empty result; extra columns are
-ignored.
+words have their whole sequence as one shingle; very long texts are whole sets, of which a task holds two blocks' worth at a time;
+repeated rows are equal documents; a class of equal sets is one node, whatever doc_ids its rows have, so that texts which share
+a doc_id, or have none, are linked by their words only; a component is named by its smallest doc_id, a component of rows without
+doc_id by null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +40,10 @@ BANDS, ROWS = 4, 3
 L = 2
 #: Tokens of a block of queries or members.
 BLOCK = 200_000
+#: Sets of a block of queries or members, so that a pair of blocks has at most SIDE^2 cells or so.
+SIDE = 1024
 #: Sketch counters: one for about each PER tokens, between these bounds.
-PER, LEAST, MOST = 256, 1 << 12, 1 << 24
-NO_ID = (1 << 63) - 1
+PER, LEAST, MOST = 256, 1 << 12, 1 << 20
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -78,7 +81,8 @@ def sketcher(k: int) -> Kernel:
                 sums = [_sums(x) for x in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": batch.column("id"),
+                        "doc_id": batch.column("doc_id"),
+                        "tie": batch.column("tie"),
                         "n": pa.array([len(x) for x in sets], pa.int64()),
                         "s1": pa.array([a for a, _ in sums], pa.int64()),
                         "s2": pa.array([b for _, b in sums], pa.int64()),
@@ -100,7 +104,8 @@ def counter(k: int, size: int) -> Kernel:
         for whole in batches:
             for batch in slices(whole):
                 _, h = shingle_hashes(*word_hashes(batch.column("text")), k)
-                total += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                at, n = np.unique(h & np.uint64(size - 1), return_counts=True)
+                total[at.astype(np.int64)] += n
         if total.any():
             yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(size // PART)), "counts": pa.array([x.tobytes() for x in total.astype(np.int32).reshape(-1, PART)], pa.binary())})
 
@@ -197,31 +202,27 @@ def overlaps(q: list[np.ndarray], m: list[np.ndarray], cells: int = 1 << 22) ->
     return out
 
 
-def forest(linked: np.ndarray, q: list[int], m: list[int]) -> list[tuple[int, int]]:
-    """Edges that connect what linked (len(q) x len(m)) connects."""
-    nodes = {x: i for i, x in enumerate(dict.fromkeys([*q, *m]))}
-    names = list(nodes)
-    parent = list(range(len(nodes)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    at = np.array([nodes[x] for x in m])
-    for i, row in enumerate(linked):
-        near = at[row]
-        if not len(near):
-            continue
-        a = nodes[q[i]]
-        for b in near.tolist():
-            u, v = find(a), find(b)
-            if u != v:
-                parent[v] = u
-                out.append((names[a], names[b]))
-    return out
+def forest(linked: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that connect what linked (len(q) x len(m)) connects: a breadth-first tree of each component, level by level."""
+    a: list[int] = []
+    b: list[int] = []
+    open_q, open_m = linked.any(1), linked.any(0)
+    while open_q.any():
+        rows = np.flatnonzero(open_q)[:1]
+        open_q[rows] = False
+        while len(rows):
+            cols = np.flatnonzero(open_m & linked[rows].any(0))
+            open_m[cols] = False
+            a += q[rows[linked[np.ix_(rows, cols)].argmax(0)]].tolist() if len(cols) else []
+            b += m[cols].tolist()
+            if not len(cols):
+                break
+            rows = np.flatnonzero(open_q & linked[:, cols].any(1))
+            open_q[rows] = False
+            if len(rows):
+                a += q[rows].tolist()
+                b += m[cols[linked[np.ix_(rows, cols)].argmax(1)]].tolist()
+    return a, b
 
 
 def opener(num: int, den: int) -> Kernel:
@@ -238,9 +239,9 @@ def opener(num: int, den: int) -> Kernel:
         both = overlaps(list(q.values()), list(m.values()))
         size = [np.array([len(x) for x in side.values()], np.float64) for side in (q, m)]
         linked = (both > 0) & (den * both.astype(np.float64) >= num * (size[0][:, None] + size[1][None, :] - both))
-        linked &= np.array(list(q))[:, None] != np.array(list(m))[None, :]
-        found = forest(linked, list(q), list(m))
-        return [a for a, _ in found], [b for _, b in found]
+        ids = np.array(list(q)), np.array(list(m))
+        linked &= ids[0][:, None] != ids[1][None, :]
+        return forest(linked, *ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -263,35 +264,46 @@ def opener(num: int, den: int) -> Kernel:
 
 
 def blocked(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (g, id, n) with their block: of each group and size band as many as BLOCK tokens need. Totals are aggregates and the
+    """rows (g, id, n) with their block: of each group and size band as many as BLOCK tokens and SIDE sets need. Totals are aggregates and the
     block a hash, so that no task sees a whole group."""
     band = F.floor(F.log(F.col("n")) / float(np.log(den / num))) if num < den else F.col("n").cast("long")
     rows = rows.withColumn("band", band)
-    totals = saved(rows.groupBy("g", "band").agg(F.ceil(F.sum("n") / BLOCK).alias("parts")), "totals")
+    totals = saved(rows.groupBy("g", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / SIDE)).alias("parts")), "totals")
     rows = rows.join(totals, ["g", "band"])
     return saved(rows.select("g", "id", "n", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")), "blocks")
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+    """doc_id, n_shingles, component_id, tie (a hash of the text) and first (whether the row's doc_id and tie are the component's
+    least, a null doc_id last) for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = saved(docs.mapInArrow(sketcher(k), "id long, n long, s1 long, s2 long, bands array<long>"), "sketches")
-    key = ["n", "s1", "s2"]
-    classes = saved(rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = saved(docs.mapInArrow(sketcher(k), "doc_id long, tie long, n long, s1 long, s2 long, bands array<long>"), "sketches")
+    # a class of equal sets is a node, named by what identifies the set; of its rows the one with the least doc_id stands for it
+    node = F.xxhash64("n", "s1", "s2").alias("id")
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(who).alias("who"), F.any_value("bands").alias("bands"))
+    classes = saved(classes.select(node, "n", "s1", "who", "bands"), "classes")
 
     # groups of similar classes
-    buckets = classes.select("rep", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
-    groups = buckets.join(leaders, "band").groupBy("rep").agg(F.min("lead").alias("grp"))
-    reps = saved(classes.join(groups, "rep", "left").select(F.col("rep").alias("id"), "s1", F.coalesce("grp", "rep").alias("grp")), "reps")
+    buckets = classes.select("id", F.explode("bands").alias("band"))
+    leaders = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("band", "lead")
+    groups = buckets.join(leaders, "band").groupBy("id").agg(F.min("lead").alias("grp"))
+    reps = saved(classes.join(groups, "id", "left").select("id", "s1", F.coalesce("grp", "id").alias("grp"), F.col("who.doc_id").alias("d"), F.col("who.tie").alias("t")), "reps")
+    stands = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))
+    twice = not rows.groupBy("doc_id", "tie").count().where("count > 1").isEmpty()
+
+    def texts_of(of: DataFrame, *columns: str) -> DataFrame:
+        found = docs.join(of, stands).select("id", *columns, "text")
+        return found.dropDuplicates(["id"]) if twice else found  # a row that repeats stands for its class once
 
     # the token-group matrix
     least = L if 2 * num > den else 1
     total = rows.agg(F.sum("n")).first()[0] or 0
     counts = spark.sparkContext.broadcast(token_counts(docs, k, total))
-    prefix = docs.join(reps, "id").mapInArrow(prefixer(k, num, den, least, counts), "token long, id long, grp long, n int, short boolean").repartition("token")
+    prefix = texts_of(reps, "s1", "grp").mapInArrow(prefixer(k, num, den, least, counts), "token long, id long, grp long, n int, short boolean").repartition("token")
     shared = prefix.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token")
     rare = saved(prefix.join(shared, "token", "left_semi"), "rare")
     matrix = rare.where("short").select("token", F.col("grp").alias("g")).distinct()
@@ -309,13 +321,16 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     queries = queries.select("g", F.col("block").alias("qb"), F.lit(1).alias("query"), "id").join(meet, ["g", "qb"])
     members = members.select("g", F.col("block").alias("mb"), F.lit(0).alias("query"), "id").join(meet, ["g", "mb"])
     sides = saved(queries.select("g", "qb", "mb", "query", "id").union(members.select("g", "qb", "mb", "query", "id")), "sides")
-    wanted = reps.join(sides.select("id").distinct(), "id").select("id", "s1")
-    sets = saved(docs.join(wanted, "id").mapInArrow(setter(k), "id long, tokens binary"), "sets")
+    wanted = reps.join(sides.select("id").distinct(), "id").select("id", "s1", "d", "t")
+    sets = saved(texts_of(wanted, "s1").mapInArrow(setter(k), "id long, tokens binary"), "sets")
     dealt = sides.join(sets, "id").select("g", "qb", "mb", "query", "id", "tokens").repartition("g", "qb", "mb").sortWithinPartitions("g", "qb", "mb", "query", "id")
     links = saved(dealt.mapInArrow(opener(num, den), "a long, b long"), "links")
 
-    labels = components(links).withColumnRenamed("node", "rep")
-    of = classes.select(*key, "rep").join(labels, "rep", "left").select(*key, F.coalesce("label", "rep").alias("component"))
-    out = rows.select("id", *key).join(of, key, "left")
-    none = F.lit(NO_ID)
-    return out.select(F.nullif("id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "id"), none).alias("component_id"))
+    labels = components(links).withColumnRenamed("node", "id")
+    of = saved(classes.join(labels, "id", "left").select("id", "who", F.coalesce("label", "id").alias("label")), "labelled")
+    best = of.groupBy("label").agg(F.min("who").alias("best"))
+    of = saved(of.select("id", "label").join(best, "label").select(F.col("id").alias("of"), "best"), "components")
+    out = rows.select("doc_id", "tie", "n", F.when(F.col("n") > 0, node).alias("id")).join(of, F.col("id") == F.col("of"), "left")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    linked = F.col("of").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "tie", (~linked | own.eqNullSafe(F.col("best"))).alias("first"))

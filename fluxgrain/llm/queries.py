@@ -69,7 +69,7 @@ SQL["op7_url_filter"] = urlfilter.URL_SQL
 
 @query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -488,6 +488,46 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.join(docs(spark, []), 4, 85, 100).collect() == []
 
 
+def test_ngram_join_keeps_texts_of_null_and_repeated_ids_apart(spark):
+    rng = random.Random(14)
+    a, b, c = (random_words(rng, 60) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "zz"])
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (None, " ".join(b)), (1, near(a)), (2, near(b)), (3, " ".join(c)), (3, "other text " * 9), (4, near(c))]
+    got = ngram_join.join(docs(spark, rows), 5, 80, 100)
+    want = [(None, 1, False), (None, 2, False), (None, 2, False), (1, 1, True), (2, 2, True), (3, 3, True), (3, 3, True), (4, 3, False)]
+    assert table(got, "doc_id", "component_id", "first") == sorted(want, key=repr)
+    many = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{i}x"), (F.col("id") % 40).cast("string")) for i in range(12))).alias("text"))
+    got = ngram_join.join(many, 5, 80, 100)
+    assert got.count() == 10_000 and got.where("component_id is null").count() == 10_000
+
+
+def test_forest_connects_what_the_links_do():
+    rng = np.random.default_rng(8)
+    for share in (0.0, 0.02, 0.1, 0.9, 1.0):
+        linked = rng.random((37, 29)) < share
+        q, m = np.arange(37), np.arange(100, 129)
+        a, b = ngram_join.forest(linked, q, m)
+        assert all(linked[x, y - 100] for x, y in zip(a, b, strict=True))
+
+        def parts(edges):
+            p = {i: i for i in [*q.tolist(), *m.tolist()]}
+
+            def find(i):
+                while p[i] != i:
+                    i = p[i]
+                return i
+
+            for x, y in edges:
+                p[find(x)] = find(y)
+            groups = {}
+            for i in p:
+                groups.setdefault(find(i), set()).add(i)
+            return {frozenset(g) for g in groups.values()}
+
+        want = parts([(int(x), int(y) + 100) for x, y in np.argwhere(linked)])
+        assert parts(zip(a, b, strict=True)) == want and len(a) == 66 - len(want)
+
+
 # --- 10 decontamination
 
 
