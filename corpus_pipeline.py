@@ -7,16 +7,20 @@ again as the next stage's docs. All stages but the last return the columns of do
 2. exact_dedup: of texts equal without white space one stays, the longest, then that of the smallest doc_id.
 3. ngram_join: of documents connected by similarities of 0.8 or more on five-word shingles that of the smallest doc_id stays.
 4. decontamination: documents with a passage of the benchmark go.
-5. mixing: sources are cut and repeated to their targets; the columns size, target and taken say how many words each gives.
+5. mixing: the mix itself. A document has a row for each epoch that takes words of it; mix_epoch, mix_words and mix_target are
+   added, and the document at a source's cut has its leading words only.
 
-Stages 3 and 4 treat rows that share a doc_id alike; a null doc_id is a value like others.
+Defined cases: documents are told apart by doc_id and text, so that null or repeated doc_ids drop nothing else; null and empty
+texts are not toxic, are one class of copies of which one stays, link with nothing, and leave the mix, which takes words; very long
+texts are taken whole; of repeated rows one stays; with empty tables each stage gives an empty table, without labels nothing is
+toxic; other columns pass all stages, whatever their names (but columns named as the three of the mix are replaced).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrain.llm import decontam, exact_dedup, mixing, ngram_join, toxicity
@@ -25,10 +29,14 @@ from fluxgrain.llm.common import WS_CHARS, saved, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def text_tie() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone. A merge join at every size: gone grows with docs."""
-    gone = saved(gone.select(F.col("doc_id").alias("_fg_gone")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fg_gone")), "left_anti")
+    """The rows of docs whose doc_id and text (its hash, tie) aren't in gone. A merge join at every size: gone grows with docs."""
+    gone = saved(gone.select(F.col("doc_id").alias("_fg_gone"), F.col("tie").alias("_fg_tie")).distinct(), "gone")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fg_gone")) & (text_tie() == F.col("_fg_tie")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +46,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = saved(exact_dedup.dedup(docs), "dedup")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return without(docs, found.where("not kept"))
+        gone = saved(found.where("not kept").select(F.col("doc_id").alias("_fg_gone")), "gone")
+        return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_fg_gone")), "left_anti")
     # a doc_id that repeats doesn't name a row: its text must, and of equal rows one stays
     kept = found.where("kept").select(F.col("doc_id").alias("_fg_d"), F.col("text_sha256").alias("_fg_s")).distinct()
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), WS_CHARS, "").cast("binary"), 256)
@@ -50,8 +59,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join(docs, k=5, num=80, den=100)
-    return without(docs, found.where("component_id is not null and not (doc_id <=> component_id)"))
+    return without(docs, ngram_join.join(docs, k=5, num=80, den=100).where("not first"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
