@@ -45,9 +45,13 @@ def test_pipeline(spark, tmp_path):
     sizes, taken = {}, {}
     for i, t in left:
         sizes[src(i)] = sizes.get(src(i), 0) + len((t or "").split())
+    by_id = {}
     for r in out:
-        assert 0 < r["taken"] <= 2 * r["size"]
-        taken[r["source"]] = (taken.get(r["source"], (0, 0))[0] + r["taken"], r["target"])
+        n = len(r["text"].split())
+        assert 0 < n == r["mix_words"]
+        by_id[r["doc_id"]] = by_id.get(r["doc_id"], 0) + n
+        taken[r["source"]] = (taken.get(r["source"], (0, 0))[0] + n, r["mix_target"])
+    assert all(by_id.get(i, 0) <= 2 * len((t or "").split()) for i, t in left)
     assert all(abs(a - b) < 1 for a, b in taken.values())
     assert sum(a for a, _ in taken.values()) == pytest.approx(1.5 * sum(sizes.values()), abs=len(sizes))
 
@@ -63,9 +67,37 @@ def test_repeated_ids_in_exact_dedup(spark):
     assert sorted((repr(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", "a b c"), ("1", "other"), ("None", "m"), ("None", "n")]
 
 
-@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[1:3]] + [corpus_pipeline.STAGES[4][1]])
-def test_stages_of_nothing(spark, stage):
-    assert stage(spark, docs(spark, [], extra=False), "").collect() == []
+@pytest.fixture
+def side_tables(spark, tmp_path):
+    write(spark, tmp_path, "labels", spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))
+    write(spark, tmp_path, "benchmark", spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20)))], "item_id long, text string"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_of_nothing(spark, side_tables, stage):
+    assert stage(spark, docs(spark, [], extra=False), side_tables).collect() == []
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
+def test_stages_keep_clean_rows_of_null_and_repeated_ids_and_other_columns(spark, side_tables, stage):
+    clean = [(None, "one of its own"), (None, "two by itself"), (7, "third kind"), (7, "fourth text " * 9), (8, "fifth")]
+    d = docs(spark, clean)
+    out = stage(spark, d, side_tables)
+    assert out.columns == d.columns
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in out.collect()) == sorted((repr(i), t) for i, t in clean)
+
+
+def test_near_copies_and_leaks_of_null_ids(spark, side_tables):
+    import random
+
+    words = random_words(random.Random(3), 50, 100000)
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, " ".join(words)), (None, "clean"), (4, " ".join([*words[:-1], "else"])), (None, "see " + item)]
+    near = corpus_pipeline.drop_near_copies(spark, docs(spark, rows, extra=False), "")
+    assert {(r["doc_id"], r["text"]) for r in near.collect()} == {rows[1], rows[2], rows[3]}
+    leaks = corpus_pipeline.drop_leaks(spark, docs(spark, rows, extra=False), side_tables)
+    assert {(r["doc_id"], r["text"]) for r in leaks.collect()} == set(rows[:3])
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
@@ -83,3 +115,6 @@ def test_query(spark, sf, name):
         cur = con.execute(queries.SQL[name])
         names = [d[0] for d in cur.description]
         assert got == sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in cur.fetchall())
+    else:
+        n = spark.read.parquet(f"{sf}/{'pages' if name == 'op5_html_text' else 'documents'}.parquet").count()
+        assert len(got) == n or name == "op10_decontamination" and 0 < len(got) < n
