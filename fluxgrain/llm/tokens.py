@@ -1,21 +1,25 @@
 """Token counts by a compiled finite-state transducer whose chunk maps compose.
 
-The vocabulary of a byte-level BPE with word ends is compiled into a deterministic transducer over UTF-8 bytes. Its states are
-the prefixes of pre-tokens, entered as texts need them; each transition carries the change in the number of emitted tokens. The
-transition rule is that of BPE itself: the last token of a prefix's encoding is the one suffix of it that is a token and stays
-unmerged beside the last token of what precedes it. The last byte of a pre-token is a symbol of its own (the word end), so the
-final transition settles the count.
-
-White space ends every pre-token, so a chunk of text, cut anywhere, acts as a map (head, count, tail): the bytes before its first
-white space, the tokens between, the bytes after its last. Maps compose associatively, ``(h, m, t) + (h', m', t') = (h, m +
-f(t h') + m', t')``, and a long text is the product of its chunks' maps, taken as a parallel prefix scan. f runs the transducer
-over a white-space-free stretch; its results are kept in a table of bounded size.
+The vocabulary of a byte-level BPE with word ends is compiled into a deterministic transducer over the letters of UTF-8 bytes. The
+last token of a prefix's encoding is the one suffix of it that is a token and stays unmerged beside the last token of what precedes
+it. So what a state must know is, for each suffix of the letters read that begins some token of the vocabulary: the last token
+before that suffix, and how many tokens were emitted since. These are finitely many; equal ones are one state, whichever words
+lead there. A transition goes to the state after one more letter and carries the change in the number of tokens emitted, which the
+compiler reads off the accepted token; the last letter of a pre-token is a symbol of its own, whose transition settles the count
+and returns to the start. States and transitions are entered when a text first needs them, and stay: there are about a quarter as
+many as there are distinct words.
+
+A chunk of the symbols of a text acts on the states: a map from the state before it to the state after it and the tokens emitted.
+Maps compose associatively. Texts of more than CHUNK symbols are cut anywhere, inside words too, and counted by the parallel prefix
+scan of their chunks' maps; shorter ones are one chunk, counted by stretches without white space, which all begin at the start state
+and whose counts are kept in a table of bounded size.
 
 Stretches with a special token's string, which the library turns into one token by default, are counted by the library, and
-stretches with bytes over 127 or control bytes are normalised and pre-tokenised by it before the transducer runs.
+stretches with other letters than those of ASCII and Latin-1 are normalised and pre-tokenised by it before the transducer runs.
 
-Defined cases: null text counts as empty and has 0 bytes and tokens; repeated rows are counted each; an empty table gives an
-empty result; extra columns are ignored. The vocabulary's path is a parameter; every executor must be able to read it.
+Defined cases: null text counts as empty and has 0 bytes and tokens; very long texts are counted whole; repeated rows are counted
+each; an empty table gives an empty result; extra columns are ignored, whatever their names. The vocabulary's path is a parameter;
+every executor must be able to read it.
 """
 
 from __future__ import annotations
@@ -30,10 +34,17 @@ from pyspark.sql import DataFrame
 
 from fluxgrain.llm.common import small_batches, utf8
 
+#: Symbols of a chunk.
 CHUNK = 1 << 16
-KEPT = 300_000
+#: Counts, neighbours of tokens and states that a table holds before it is emptied.
+KEPT, MOST_STATES = 500_000, 2_000_000
 LONGEST_KEPT = 48
 END = "</w>"
+#: The symbol of a letter that ends its pre-token is the letter's, raised by this.
+LAST = 512
+#: States and symbols in a transition's key, tokens emitted (offset by half of it) in its value.
+SYMBOLS, SHIFT = 10, 8
+HALF = 1 << SHIFT - 1
 
 # fixed value: the vocabulary's own pre-token pattern, on printable ASCII and the letters of Latin-1, both lower case
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -53,6 +64,10 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: Of each suffix that begins a token, longest first: the suffix, the last token before it, the tokens emitted since.
+Chain = tuple[tuple[str, str, int], ...]
+
+
 class Transducer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,10 +78,12 @@ class Transducer:
         model = spec["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END:
             raise ValueError("a BPE vocabulary with word ends is needed")
-        self.specials = [t["content"].encode() for t in spec.get("added_tokens", []) if t.get("special")]
+        specials = [re.escape(t["content"].encode()) for t in spec.get("added_tokens", []) if t.get("special")]
+        self.special = re.compile(b"|".join(specials) or b"(?!)").search
         self.tokens = model["vocab"]
-        self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        bodies = [t.removesuffix(END) if len(t) > len(END) else t for t in self.tokens]
+        self.begins = {t[:i] for t in bodies for i in range(len(t))}
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.words: dict[str, int] = {}
@@ -74,10 +91,17 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Drops the states; they come back as texts need them."""
-        self.next: dict[int, int] = {}  # by state, whether the symbol ends the pre-token, and letter
-        self.last = [""]
-        self.emitted = [0]
+        """Back to the start state alone; the others come back as texts need them."""
+        self.next: dict[int, int] = {}  # by state and symbol: state after it, and tokens emitted
+        self.chains: list[Chain] = []
+        self.known: dict[Chain, int] = {}
+        self.state((("", "", 0),))
+
+    def state(self, chain: Chain) -> int:
+        if (found := self.known.get(chain)) is None:
+            found = self.known[chain] = len(self.chains)
+            self.chains.append(chain)
+        return found
 
     def merged(self, parts: list[str]) -> list[str]:
         """BPE by its definition, for short strings."""
@@ -112,62 +136,58 @@ class Transducer:
             found = self.beside[a, b] = self.merged(self.symbols(a) + self.symbols(b)) == [a, b]
         return found
 
-    def step(self, text: str, end: bool, before: Callable[[int], tuple[str, int]]) -> tuple[str, int]:
-        """Last token and count of text, whose shorter prefixes' are before(length)."""
-        n = len(text)
-        for size in range(min(n, self.longest), 0, -1):
-            token = text[n - size :] + END * end
-            if token in self.tokens:
-                last, count = before(n - size)
-                if n == size or self.unmerged(last, token):
-                    return token, count + 1
-        raise ValueError(f"{text!r} has no encoding")
-
-    def count(self, word: str) -> int:
-        """Tokens of one pre-token, in the letters of byte_letters()."""
-        n = len(word)
-        if n > LONGEST_KEPT:  # not worth states: the same recurrence on arrays
-            seen = [("", 0)]
-            for i in range(1, n + 1):
-                seen.append(self.step(word[max(0, i - self.longest - 1) : i] if i > self.longest + 1 else word[:i], i == n, lambda k, i=i: seen[k + max(0, i - self.longest - 1)]))
-            return seen[n][1]
-        state, path = 0, [0]
-        for i, letter in enumerate(word, 1):
-            symbol = state << 10 | (i == n) << 9 | ord(letter)
-            to = self.next.get(symbol)
-            if to is None:
-                last, count = self.step(word[:i], i == n, lambda k: (self.last[path[k]], self.emitted[path[k]]))
-                to = self.next[symbol] = len(self.last)
-                self.last.append(last)
-                self.emitted.append(count)
-            state = to
-            path.append(state)
-        total = self.emitted[state]
-        if len(self.last) > 2 * KEPT:
-            self.forget()
-        return total
+    def transition(self, state: int, symbol: int) -> int:
+        """The state after symbol and the tokens emitted, as entered in the table of transitions."""
+        ends = symbol >= LAST
+        letter = chr(symbol - LAST if ends else symbol)
+        for suffix, last, since in self.chains[state]:
+            token = suffix + letter + END * ends
+            if token in self.tokens and (not last or self.unmerged(last, token)):
+                break
+        else:
+            raise ValueError(f"{letter!r} has no encoding")
+        emitted = 1 - since  # the tokens since the suffix began give way to the accepted one
+        to = 0
+        if not ends:
+            chain = [(s + letter, before, n + emitted) for s, before, n in self.chains[state] if s + letter in self.begins]
+            to = self.state((*chain, ("", token, 0)))
+        found = self.next[state << SYMBOLS | symbol] = to << SHIFT | (emitted + HALF)
+        return found
+
+    def run(self, state: int, symbols: str) -> tuple[int, int]:
+        """The state after symbols and the tokens emitted."""
+        n, table = 0, self.next
+        for x in symbols:
+            found = table.get(state << SYMBOLS | ord(x)) or self.transition(state, ord(x))
+            state = found >> SHIFT
+            n += (found & 2 * HALF - 1) - HALF
+        return state, n
+
+    def pretokens(self, raw: bytes) -> list[str]:
+        """The pre-tokens of a stretch without white space and special tokens, in the letters of byte_letters()."""
+        text = raw.decode()
+        if _PLAIN.fullmatch(text):
+            parts = _LATIN.findall(text.lower())
+            return parts if raw.isascii() else [x.translate(self.letters) for x in parts]
+        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
+    def by_library(self, raw: bytes) -> int:
+        return len(self.library.encode(raw.decode(), add_special_tokens=False).ids)
 
     def stretch(self, raw: bytes) -> int:
         """Tokens of a stretch without white space."""
         if not raw:
             return 0
-        if any(s in raw for s in self.specials):
-            return len(self.library.encode(raw.decode(), add_special_tokens=False).ids)
-        text = raw.decode()
-        if _PLAIN.fullmatch(text):
-            parts = _LATIN.findall(text.lower())
-            if not raw.isascii():
-                parts = [x.translate(self.letters) for x in parts]
-        else:
-            parts = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        return sum(map(self.word, parts))
+        return self.by_library(raw) if self.special(raw) else sum(map(self.word, self.pretokens(raw)))
 
     def word(self, x: str) -> int:
         """Tokens of one pre-token, kept up to a bounded number."""
         if (n := self.words.get(x)) is None:
-            n = self.count(x)
+            if len(self.chains) > MOST_STATES:
+                self.forget()
+            n = self.run(0, symbols_of(x))[1]
             if len(x) <= LONGEST_KEPT:
-                if len(self.words) > 2 * KEPT:
+                if len(self.words) > KEPT:
                     self.words.clear()
                 self.words[x] = n
         return n
@@ -189,49 +209,65 @@ class Stretches(dict):
         return n
 
 
-ChunkMap = tuple[bytes, int, bytes] | bytes  # a chunk without white space is the stretch itself
+class Map:
+    """What a chunk of symbols does to the states: the state after it and the tokens emitted, entered for the states that it meets."""
 
+    def __init__(self, act: Callable[[int], tuple[int, int]]):
+        self.act = act
+        self.seen: dict[int, tuple[int, int]] = {}
 
-def chunk_map(raw: bytes, f: Stretches) -> ChunkMap:
-    parts = raw.split()
-    if not parts:
-        return (b"", 0, b"") if raw else b""
-    head = b"" if raw[:1].isspace() else parts[0]
-    tail = b"" if raw[-1:].isspace() else parts[-1]
-    if head == raw:
-        return raw
-    inner = parts[bool(head) : len(parts) - bool(tail)]
-    return head, sum(map(f.__getitem__, inner)), tail
+    def __call__(self, state: int) -> tuple[int, int]:
+        if (found := self.seen.get(state)) is None:
+            found = self.seen[state] = self.act(state)
+        return found
+
+
+def chunk_map(symbols: str, t: Transducer) -> Map:
+    """The map of a chunk. After its first end of a pre-token it does the same to every state, which is worked out once."""
+    first = next((i for i, x in enumerate(symbols) if ord(x) >= LAST), None)
+    if first is None:
+        return Map(lambda state: t.run(state, symbols))
+    to, n = t.run(0, symbols[first + 1 :])
+    return Map(lambda state: (to, n + t.run(state, symbols[: first + 1])[1]))
 
 
-def compose(x: ChunkMap, y: ChunkMap, f: Stretches) -> ChunkMap:
-    if isinstance(x, bytes):
-        return x + y if isinstance(y, bytes) else (x + y[0], y[1], y[2])
-    if isinstance(y, bytes):
-        return x[0], x[1], x[2] + y
-    return x[0], x[1] + f[x[2] + y[0]] + y[1], y[2]
+def compose(x: Map, y: Map) -> Map:
+    def act(state: int) -> tuple[int, int]:
+        between, n = x(state)
+        after, m = y(between)
+        return after, n + m
 
+    return Map(act)
 
-def scan(maps: list[ChunkMap], f: Stretches) -> list[ChunkMap]:
+
+def scan(maps: list[Map]) -> list[Map]:
     """All prefix products of maps, by doubling."""
     step = 1
     while step < len(maps):
-        maps = [compose(maps[i - step], m, f) if i >= step else m for i, m in enumerate(maps)]
+        maps = [compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
         step *= 2
     return maps
 
 
-def total(x: ChunkMap, f: Stretches) -> int:
-    return f[x] if isinstance(x, bytes) else f[x[0]] + x[1] + f[x[2]]
+def symbols_of(pretoken: str) -> str:
+    return pretoken[:-1] + chr(ord(pretoken[-1]) + LAST)
 
 
 def count_text(raw: bytes, f: Stretches, chunk: int = CHUNK) -> int:
     if len(raw) <= chunk:
-        return sum(map(f.__getitem__, raw.split()))  # the map of the one chunk, applied at once
-    maps = [chunk_map(raw[i : i + chunk], f) for i in range(0, len(raw), chunk)]
-    while len(maps) > 1:  # the last prefix product is wanted here, so pairs are enough
-        maps = [compose(maps[i], maps[i + 1], f) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return total(maps[0], f)
+        return sum(map(f.__getitem__, raw.split()))  # one chunk: its stretches all begin at the start state
+    t = f.transducer
+    if len(t.chains) > MOST_STATES:
+        t.forget()
+    apart, parts = 0, []
+    for x in raw.split():
+        if t.special(x):
+            apart += t.by_library(x)
+        else:
+            parts += map(symbols_of, t.pretokens(x))
+    symbols = "".join(parts)
+    maps = [chunk_map(symbols[i : i + chunk], t) for i in range(0, len(symbols), chunk)]
+    return apart + (scan(maps)[-1](0)[1] if maps else 0)
 
 
 _compiled: dict[str, Stretches] = {}

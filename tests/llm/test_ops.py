@@ -195,8 +195,22 @@ def test_token_counts_equal_the_library(spark):
         assert tokens.count_text(s.encode(), f, rng.choice([1, 3, 7, 1000])) == want(s), s
     for s in ("thing" * 900, "é" * 999, "!?" * 400):
         assert tokens.count_text(s.encode(), f, 64) == want(s)
-    maps = [tokens.chunk_map(x, f) for x in (b"th", b"ing one", b" ", b"two", b" three")]
-    assert tokens.total(tokens.scan(maps, f)[-1], f) == want("thing one two three")
+    t = f.transducer
+    symbols = "".join(tokens.symbols_of(x) for w in "thing one two three".split() for x in t.pretokens(w.encode()))
+    for cut in (1, 2, 3, 5, 100):
+        maps = [tokens.chunk_map(symbols[i : i + cut], t) for i in range(0, len(symbols), cut)]
+        prefixes = [t.run(0, symbols[: i + cut]) for i in range(0, len(symbols), cut)]
+        assert [m(0) for m in tokens.scan(maps)] == prefixes and prefixes[-1] == (0, want("thing one two three"))
+    # states are few, whichever words lead to them, and the table of transitions stays deterministic when entered again
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    for w in words:
+        assert t.run(0, tokens.symbols_of(w)) == (0, want(w))
+    assert len(t.chains) < sum(map(len, words))
+    before = dict(t.next)
+    t.forget()
+    assert all(t.run(0, tokens.symbols_of(w)) == (0, want(w)) for w in words[:200]) and before
+    long = " ".join(words) * 3 + "x" * 70_000 + " <|endoftext|> é" + "naïve" * 20_000
+    assert tokens.count_text(long.encode(), f) == want(long) and tokens.count_text(long.encode(), f, 1000) == want(long)
     rows = [(1, "hello world"), (2, None), (3, ""), (None, "x " * 3000)]
     got = table(tokens.token_counts(docs(spark, rows), path), "doc_id", "n_bytes", "n_tokens", "over_limit")
     assert got == sorted([(1, 11, 2, False), (2, 0, 0, False), (3, 0, 0, False), (None, 6000, 3000, True)], key=repr)
