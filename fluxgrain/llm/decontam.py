@@ -14,8 +14,8 @@ Which masks serve an item depends on its number of words n, so that whatever wor
 * n < 5, no substitution: one mask, the whole item.
 
 Masks that no item needs are not hashed. Seeds of one benchmark are broadcast only after they have been counted and found to be at
-most BROADCAST_ROWS (24 bytes each); beyond that the join is dealt by hash. Documents are read again for their hits' words; hits
-alone decide what is moved, and of a document's words only those beside the item.
+most BROADCAST_ROWS (32 bytes each), and then hits take along the words beside the item, so that documents are read once and only
+hits move; beyond that the join is dealt by hash and documents are read again for their hits' words.
 
 Defined cases: null and empty texts have no words and no hits; rows that share doc_id and text are one document, other texts of a
 doc_id (or of a null one) are documents of their own with rows of their own; items with the same item_id and words are one; very
@@ -85,22 +85,28 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     text): the best alignment of each document with each item."""
     items = benchmark.select("item_id", F.array_remove(words_of(F.col("text")), "").alias("words")).where(F.size("words") > 0).distinct()
     lengths = [r["n"] for r in items.select(F.least(F.size("words"), F.lit(LONG)).alias("n")).distinct().collect()]  # LONG rows at most
-    items = saved(items.withColumn("item_tie", F.xxhash64("words")), "items")
-    b = saved(seeds(items, lengths, True).select("h", "item_id", "item_tie", F.col("p").alias("at")).distinct(), "benchmark-seeds")
-    b = F.broadcast(b) if b.count() <= BROADCAST_ROWS else b
+    items = saved(items.withColumn("item_tie", F.xxhash64("words")).withColumn("item_words", F.size("words")), "items")
+    b = saved(seeds(items, lengths, True).select("h", "item_id", "item_tie", "item_words", F.col("p").alias("at")).distinct(), "benchmark-seeds")
+    few = b.count() <= BROADCAST_ROWS
     tie = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
     edge = F.array_repeat(F.lit(""), EDGE)
-    d = seeds(docs.select("doc_id", tie, F.concat(edge, words_of(F.col("text")), edge).alias("words")), lengths, False)
-    found = saved(d.join(b, "h").select("doc_id", "tie", "item_id", "item_tie", (F.col("p") - EDGE - F.col("at")).alias("start")).distinct(), "alignments")
-
-    n = F.size("item")
-    texts = docs.select(F.col("doc_id").alias("d"), tie.alias("t"), words_of(F.col("text")).alias("words"))
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie"))
-    sizes = items.select(F.col("item_id").alias("i"), F.col("item_tie").alias("it"), F.col("words").alias("item"))
-    found = found.join(sizes, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_tie") == F.col("it"))).drop("i", "it")
+    texts = docs.select("doc_id", tie, F.concat(edge, words_of(F.col("text")), edge).alias("words"))
+    start = F.col("p") - F.col("at")  # in the words with their edges
+    n = F.col("item_words")
     # beside the item: word j of the item lies at start + j, where that is in the document
-    beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("start"), F.lit(0))), F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(n + F.least(F.col("start"), F.lit(0)), F.lit(0))))
-    pairs = texts.join(found, same).select("doc_id", "tie", "item_id", "start", "item", beside.alias("beside"))
+    beside = F.concat(F.array_repeat(F.lit(""), F.greatest(-F.col("start"), F.lit(0))), F.slice("cells", F.greatest(F.col("start"), F.lit(0)) + 1, F.greatest(n + F.least(F.col("start"), F.lit(0)), F.lit(0)))).alias("beside")
+    key = ["doc_id", "tie", "item_id", "item_tie", "item_words", "start"]
+    if few:  # hits are made where the words are, so they take along what lies beside the item
+        found = seeds(texts.withColumn("cells", F.col("words")), lengths, False).join(F.broadcast(b), "h").withColumn("start", start)
+        pairs = saved(found.select(*key, beside).distinct(), "alignments")
+    else:
+        found = saved(seeds(texts, lengths, False).join(b, "h").withColumn("start", start).select(*key).distinct(), "alignments")
+        again = texts.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.col("words").alias("cells"))
+        pairs = again.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie"))).select(*key, beside)
+
+    pairs = pairs.drop("item_words").withColumn("start", F.col("start") - EDGE)
+    known = items.select(F.col("item_id").alias("i"), F.col("item_tie").alias("it"), F.col("words").alias("item"), "item_words")
+    pairs = pairs.join(known, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_tie") == F.col("it"))).drop("i", "it")
     agree = F.transform("item", lambda w, j: F.coalesce((F.get("beside", j) == w).cast("int"), F.lit(0)))
     wide = F.least(n, F.lit(WINDOW))
     sums = F.transform(F.sequence(F.lit(1), n - wide + 1), lambda i: F.aggregate(F.slice("agree", i, wide), F.lit(0), lambda a, x: a + x))

@@ -562,7 +562,7 @@ def plain_hits(rows, items):
     return found
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(10)
     items = [(j, " ".join(random_words(rng, n, 3000)) + ".") for j, n in enumerate([15, 18, 20, 33, 57, 3])] + [(9, None)]
     rows = []
@@ -580,6 +580,8 @@ def test_decontamination(spark):
     d = docs(spark, rows)
     got = decontam.hits(d, bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == plain_hits(rows, items)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # the way of a benchmark too large to broadcast
+    assert table(decontam.hits(d, bench), "doc_id", "item_id", "start", "matched") == table(got, "doc_id", "item_id", "start", "matched")
     kept = decontam.decontaminate(d, bench)
     assert kept.columns == d.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i not in {a for a, _ in plain_hits(rows, items)})
