@@ -34,7 +34,7 @@ MAX_TRAIN = 6000
 #: The weight of the absolute weights against the mean log likelihood.
 PENALTY = 3e-4
 #: Features that enter the fit in one round, and the excess of a gradient over the penalty that is taken as none.
-ENTER, TOLERANCE = 2000, 1.05
+ENTER, TOLERANCE = 256, 1.05
 THRESHOLD = 0.5
 
 #: Bytes that no word holds: ASCII but letters and digits.
@@ -163,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, penalty: fl
         start[np.searchsorted(grown, words)] = w
         words, w = grown, start
         chosen = spark.createDataFrame([(x,) for x in words.tolist()], "feature long")
-        cells = table.join(F.broadcast(chosen), "feature").toPandas()
-        row, col = cells["text"].to_numpy(np.int64), np.searchsorted(words, cells["feature"].to_numpy(np.int64))
+        cells = table.join(F.broadcast(chosen), "feature").toArrow()
+        row, col = cells.column("text").to_numpy().astype(np.int64), np.searchsorted(words, cells.column("feature").to_numpy())
         order = np.lexsort((col, row))
         row, col = row[order], col[order]
         w, theta = fit_weights(row, col, w, theta, grades, penalty)
