@@ -5,12 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAD_FACTOR = 1.4826  # fixed value: makes the MAD of normal data its standard deviation
 
 
+def keys(df: DataFrame, key: Sequence[str] | None = None) -> list[str]:
+    """The columns that name a region: the given ones, else recording, where the table has it, and roi. Recordings number their
+    regions on their own, so a table of several must have the column."""
+    return list(key) if key else [c for c in ("recording", "roi") if c in df.columns]
+
+
 def finite(x: Column) -> Column:
     """x where it is a number; NaN becomes null, since Spark orders NaN above all numbers."""
     return F.when(~F.isnan(x), x)

@@ -70,7 +70,9 @@ def savgol_derivative(x: np.ndarray, fps: float, window_ms: float = 333.0, poly:
     x = np.asarray(x, float)
     n = len(x)
     size = max(3, int(window_ms / 1000 * fps) | 1)
-    if n < size or size <= poly:
+    if size >= n:  # the largest odd window that fits
+        size = n if n % 2 else n - 1
+    if size < 3 or size <= poly:
         g = np.zeros(n)
         g[1:] = np.diff(x) * fps
         return g
@@ -256,17 +258,22 @@ def bounded_events(time_s: np.ndarray, density: np.ndarray, peaks: Sequence[int]
     return out
 
 
-def density(onsets: np.ndarray, duration_s: float, n_rois: int, p: EventParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin centres, onsets a bin (per ROI if wanted), and their smoothed form."""
-    edges = np.arange(0.0, duration_s + p.bin_s, p.bin_s)
-    if edges[-1] < duration_s:
-        edges = np.append(edges, duration_s)
-    counts = np.histogram(onsets, edges)[0] / (n_rois if p.per_roi and n_rois else 1)
-    return (edges[:-1] + edges[1:]) / 2, counts, gaussian_smooth(counts, p.sigma_bins)
+def bin_edges(duration_s: float, bin_s: float) -> np.ndarray:
+    edges = np.arange(0.0, duration_s + bin_s, bin_s)
+    return np.append(edges, duration_s) if edges[-1] < duration_s else edges
 
 
-def population_events(onsets: np.ndarray, duration_s: float, n_rois: int, p: EventParams) -> list[dict]:
-    t, _, smooth = density(onsets, duration_s, n_rois, p)
+def density(counts: np.ndarray, duration_s: float, n_rois: int, p: EventParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin centres, onsets a bin (per ROI if wanted), and their smoothed form, from the counts of the first bins."""
+    edges = bin_edges(duration_s, p.bin_s)
+    full = np.zeros(len(edges) - 1)
+    full[: len(counts)] = counts[: len(full)]
+    full /= n_rois if p.per_roi and n_rois else 1
+    return (edges[:-1] + edges[1:]) / 2, full, gaussian_smooth(full, p.sigma_bins)
+
+
+def population_events(counts: np.ndarray, duration_s: float, n_rois: int, p: EventParams) -> list[dict]:
+    t, _, smooth = density(counts, duration_s, n_rois, p)
     return bounded_events(t, smooth, find_peaks(smooth, p.min_prominence, p.min_width_bins, max(1, round(p.min_distance_bins))), p)
 
 

@@ -106,5 +106,5 @@ def pending(configs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def footprint_traces(movie: DataFrame, pixels: DataFrame) -> DataFrame:
     """recording, roi, frame, f: lam-weighted means of a movie (recording, frame, y, x, v) over regions' pixels."""
-    m = movie.join(pixels, ["y", "x"])
+    m = movie.join(pixels, [*(["recording"] if "recording" in pixels.columns else []), "y", "x"])
     return m.groupBy("recording", "roi", "frame").agg((F.sum(F.col("v") * F.col("lam")) / F.sum("lam")).alias("f"))

@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrain.functions import kernels
+from fluxgrain.functions.columns import keys
 
 
 def range_join(onsets: DataFrame, windows: DataFrame, t: str, start: str, end: str, bucket: float | None = None) -> DataFrame:
     """Onsets in closed windows [start, end]. With a bucket width, windows are cut into buckets and the join is an equi-join with
-    a residual test, which large window tables need; without one, the few windows are broadcast."""
+    a residual test, which large window tables need; without one the planner broadcasts the side that it finds small."""
     inside = (F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))
     if bucket is None:
-        return onsets.join(F.broadcast(windows), inside)
+        return onsets.join(windows, inside)
     lo, hi = F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)
     cut = windows.withColumn("bucket", F.explode(F.sequence(lo, hi)))
     return onsets.withColumn("bucket", F.floor(F.col(t) / bucket)).join(cut, "bucket").where(inside).drop("bucket")
@@ -30,10 +31,10 @@ def ordered_windows(windows: DataFrame) -> DataFrame:
 
 
 def counts_in_windows(onsets: DataFrame, windows: DataFrame, rois: DataFrame) -> DataFrame:
-    """roi, window, n for every roi and window, 0 included. windows has frames."""
-    w = ordered_windows(windows)
-    n = range_join(onsets, w, "frame", "start", "end").groupBy("roi", "window").agg(F.count("*").alias("n"))
-    return rois.crossJoin(F.broadcast(w)).join(n, ["roi", "window"], "left").select("roi", "window", "start", "end", F.coalesce("n", F.lit(0)).alias("n"))
+    """recording (if rois has it), roi, window, n for every region and window, 0 included. windows has frames."""
+    w, key = ordered_windows(windows), keys(rois)
+    n = range_join(onsets, w, "frame", "start", "end").groupBy(*key, "window").agg(F.count("*").alias("n"))
+    return rois.crossJoin(w).join(n, [*key, "window"], "left").select(*key, "window", "start", "end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def frequencies(counts: DataFrame, fps: float) -> DataFrame:
@@ -42,8 +43,8 @@ def frequencies(counts: DataFrame, fps: float) -> DataFrame:
 
 
 def binned(onsets: DataFrame, bin_s: float) -> DataFrame:
-    """roi, bin, first_t: activation in half-open bins with the earliest onset."""
-    return onsets.groupBy("roi", F.floor(F.col("t_s") / bin_s).alias("bin")).agg(F.min("t_s").alias("first_t"))
+    """recording (if there), roi, bin, first_t: activation in half-open bins with the earliest onset."""
+    return onsets.groupBy(*keys(onsets), F.floor(F.col("t_s") / bin_s).alias("bin")).agg(F.min("t_s").alias("first_t"))
 
 
 def density(onsets: DataFrame, bin_s: float, bins: int, n_rois: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def density(onsets: DataFrame, bin_s: float, bins: int, n_rois: DataFrame) -> Da
 
 def rank_order(active: DataFrame, event: str = "event") -> DataFrame:
     """Order of activation in each event (ties by roi) and the lag behind the first."""
-    w = Window.partitionBy(event)
+    w = Window.partitionBy(*[c for c in ("recording",) if c in active.columns], event)
     return active.withColumn("rank", F.row_number().over(w.orderBy("first_t", "roi"))).withColumn("lag", F.col("first_t") - F.min("first_t").over(w))
 
 
@@ -155,19 +156,25 @@ EVENT_SCHEMA = "event_id int, start_s double, peak_s double, end_s double, peak_
 
 
 def population_events(onsets: DataFrame, params: kernels.EventParams, key: str = "recording") -> DataFrame:
-    """Event windows of each recording from its onsets (key, roi, t_s): density, peaks, bounded events. One group is one recording's
-    onsets, which the density turns into a series; its length is the recording's, not the population's."""
+    """Event windows of each recording from its onsets (key, roi, t_s): density, peaks, bounded events. Onsets are counted by bin
+    first, so that a group holds the bins of a recording, however many regions and onsets it has."""
     kind = onsets.schema[key].dataType.simpleString()
+    width = F.lit(params.bin_s)
+    i = F.floor(F.col("t_s") / width)
+    i = F.when(F.col("t_s") < i * width, i - 1).when(F.col("t_s") >= (i + 1) * width, i + 1).otherwise(i)  # bins as the edges have it
+    counts = onsets.where("t_s >= 0").groupBy(key, i.alias("bin")).agg(F.count("*").alias("n"))
+    whole = onsets.groupBy(key).agg(F.max("t_s").alias("last"), F.count_distinct("roi").alias("rois"))
 
     def one(x: pd.DataFrame) -> pd.DataFrame:
-        t = x["t_s"].to_numpy(float)
-        found = kernels.population_events(t, float(t.max()) + params.bin_s, x["roi"].nunique(), params)
+        series = np.zeros(int(x["bin"].max()) + 1)
+        series[x["bin"].to_numpy(int)] = x["n"]
+        found = kernels.population_events(series, float(x["last"].iloc[0]) + params.bin_s, int(x["rois"].iloc[0]), params)
         out = pd.DataFrame(found, columns=[c.split()[0] for c in EVENT_SCHEMA.split(", ")][1:])
         out.insert(0, "event_id", np.arange(len(out), dtype=np.int32))
         out.insert(0, key, x[key].iloc[0])
         return out
 
-    return onsets.select(key, "roi", "t_s").groupBy(key).applyInPandas(one, f"{key} {kind}, {EVENT_SCHEMA}")
+    return counts.join(whole, key).groupBy(key).applyInPandas(one, f"{key} {kind}, {EVENT_SCHEMA}")
 
 
 def density_peaks(series: DataFrame, key: str, params: kernels.EventParams) -> DataFrame:

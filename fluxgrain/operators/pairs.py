@@ -18,49 +18,44 @@ from fluxgrain.functions import kernels
 def cluster_pairs(clusters: DataFrame, with_self: bool = True) -> DataFrame:
     """cluster_a, cluster_b: unordered pairs of cluster names, which are few."""
     a, b = clusters.select(F.col("cluster").alias("cluster_a")).distinct(), clusters.select(F.col("cluster").alias("cluster_b")).distinct()
-    return a.join(F.broadcast(b), F.col("cluster_a") <= F.col("cluster_b") if with_self else F.col("cluster_a") < F.col("cluster_b"))
-
-
-def lagged_sums(a: DataFrame, b: DataFrame, most: int, on: Sequence[str] = ()) -> DataFrame:
-    """roi_a, roi_b, k, s: sum over t of a[t + k] * b[t] for |k| <= most. An equi-join on the computed frame; for few pairs."""
-    lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("k")
-    left = a.select(*on, F.col("roi").alias("roi_a"), F.col("frame").alias("fa"), F.col("z").alias("za"), lags).withColumn("frame", F.col("fa") - F.col("k"))
-    right = b.select(*on, F.col("roi").alias("roi_b"), "frame", F.col("z").alias("zb"))
-    return left.join(right, [*on, "frame"]).groupBy(*on, "roi_a", "roi_b", "k").agg(F.sum(F.col("za") * F.col("zb")).alias("s"))
-
-
-def best_lags(curve: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """best_lag, max_corr, zero_lag of each curve; of equal maxima the least lag."""
-    best = F.max(F.struct(F.col(value).alias("r"), (-F.col("k")).alias("back"))).alias("best")
-    zero = F.max(F.when(F.col("k") == 0, F.col(value))).alias("zero_lag")
-    return curve.groupBy(*key).agg(best, zero).select(*key, (-F.col("best.back")).alias("best_lag"), F.col("best.r").alias("max_corr"), "zero_lag")
+    return a.join(b, F.col("cluster_a") <= F.col("cluster_b") if with_self else F.col("cluster_a") < F.col("cluster_b"))
 
 
 def xcorr_blocks(traces: DataFrame, clusters: DataFrame, most: int, block: int = 256, with_self: bool = True) -> DataFrame:
-    """All pairs of all cluster pairs by matrix products: cluster_a, cluster_b, roi_a, roi_b, best_lag, max_corr, zero_lag.
+    """All pairs of all cluster pairs by matrix products: recording (if there), cluster_a, cluster_b, roi_a, roi_b, best_lag, max_corr,
+    zero_lag.
 
-    traces: roi, zs (z-scored array). A cluster is cut into blocks of regions, so that a task holds two blocks whatever the
-    clusters' sizes; blocks of a hot cluster spread over tasks.
+    traces: roi, zs (z-scored array). A cluster is cut into blocks by a hash of roi, as many as `block` regions each need, so that
+    a task holds two blocks whatever the clusters' sizes, and no task sees a whole cluster.
     """
-    r = traces.join(clusters, "roi").withColumn("blk", F.floor((F.row_number().over(Window.partitionBy("cluster").orderBy("roi")) - 1) / block))
-    blocks = r.select("cluster", "blk").distinct()
-    a, b = (blocks.select(F.col("cluster").alias(f"cluster_{s}"), F.col("blk").alias(f"blk_{s}")) for s in "ab")
-    meet = a.join(F.broadcast(b), F.col("cluster_a") <= F.col("cluster_b") if with_self else F.col("cluster_a") < F.col("cluster_b"))
-    key = ["cluster_a", "blk_a", "cluster_b", "blk_b"]
+    rec = ["recording"] if "recording" in traces.columns and "recording" in clusters.columns else []
+    parts = clusters.groupBy(*rec, "cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    r = traces.join(clusters, [*rec, "roi"]).join(parts, [*rec, "cluster"]).withColumn("blk", F.pmod(F.xxhash64("roi"), F.col("parts")).cast("int"))
+    cells = parts.select(*rec, "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("blk"))
+    a, b = (cells.select(*rec, F.col("cluster").alias(f"cluster_{s}"), F.col("blk").alias(f"blk_{s}")) for s in "ab")
+    ordered = F.col("cluster_a") <= F.col("cluster_b") if with_self else F.col("cluster_a") < F.col("cluster_b")
+    meet = (a.join(b, rec) if rec else a.crossJoin(b)).where(ordered)  # a row a pair of blocks
+    key = [*rec, "cluster_a", "blk_a", "cluster_b", "blk_b"]
 
     def side(s: str) -> DataFrame:
-        x = r.select(F.col("cluster").alias(f"cluster_{s}"), F.col("blk").alias(f"blk_{s}"), "roi", "zs")
-        return meet.join(x, [f"cluster_{s}", f"blk_{s}"]).select(*key, F.lit(s).alias("side"), "roi", "zs")
+        x = r.select(*rec, F.col("cluster").alias(f"cluster_{s}"), F.col("blk").alias(f"blk_{s}"), "roi", "zs")
+        return meet.join(x, [*rec, f"cluster_{s}", f"blk_{s}"]).select(*key, F.lit(s).alias("side"), "roi", "zs")
+
+    schema = "cluster_a string, cluster_b string, roi_a long, roi_b long, best_lag int, max_corr double, zero_lag double"
+    names = [*rec, *(c.split()[0] for c in schema.split(", "))]
 
     def one(k: tuple, both: pd.DataFrame) -> pd.DataFrame:
         x, y = both[both["side"] == "a"].sort_values("roi"), both[both["side"] == "b"].sort_values("roi")
+        if x.empty or y.empty:
+            return pd.DataFrame({c: [] for c in names})
         za, zb = np.stack(x["zs"].to_numpy()).T, np.stack(y["zs"].to_numpy()).T
         lag, best, zero = kernels.lagged_correlation(za, zb, min(most, len(za) - 1))
         ia, ib = np.meshgrid(x["roi"].to_numpy(), y["roi"].to_numpy(), indexing="ij")
-        return pd.DataFrame({"cluster_a": k[0], "cluster_b": k[2], "roi_a": ia.ravel(), "roi_b": ib.ravel(), "best_lag": lag.ravel(), "max_corr": best.ravel(), "zero_lag": zero.ravel()})
+        out = {"cluster_a": k[-4], "cluster_b": k[-2], "roi_a": ia.ravel(), "roi_b": ib.ravel(), "best_lag": lag.ravel(), "max_corr": best.ravel(), "zero_lag": zero.ravel()}
+        return pd.DataFrame(({"recording": k[0]} if rec else {}) | out)
 
-    schema = "cluster_a string, cluster_b string, roi_a long, roi_b long, best_lag int, max_corr double, zero_lag double"
-    return side("a").union(side("b")).groupBy(*key).applyInPandas(one, schema)
+    kind = f"recording {traces.schema['recording'].dataType.simpleString()}, " if rec else ""
+    return side("a").union(side("b")).groupBy(*key).applyInPandas(one, kind + schema)
 
 
 def benjamini_hochberg(p: DataFrame, key: Sequence[str], alpha: float = 0.05) -> DataFrame:

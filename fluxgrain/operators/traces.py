@@ -1,4 +1,5 @@
-"""Operators over traces. Long form: (roi, frame, f) with one shuffle on roi; array form (roi, xs) where a step needs no shuffle."""
+"""Operators over traces. Long form: (recording, roi, frame, f) with one shuffle on (recording, roi); array form (roi, xs and any
+other columns, which pass) where a step needs no shuffle. `key` names a region: by default recording, where there is one, and roi."""
 
 from __future__ import annotations
 
@@ -7,15 +8,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fluxgrain.functions import kernels
-from fluxgrain.functions.columns import derivative, finite, hysteresis, lowpass, mad_z, min_separation
+from fluxgrain.functions.columns import derivative, finite, hysteresis, keys, lowpass, mad_z, min_separation
 
 
-def by_roi() -> Window:
-    return Window.partitionBy("roi").orderBy("frame")
+def by_roi(df: DataFrame, key: Sequence[str] | None = None) -> WindowSpec:
+    return Window.partitionBy(*keys(df, key)).orderBy("frame")
 
 
 def subtract_neuropil(df: DataFrame, r: float = 0.7) -> DataFrame:
@@ -23,26 +24,26 @@ def subtract_neuropil(df: DataFrame, r: float = 0.7) -> DataFrame:
 
 
 def shift_nonnegative(df: DataFrame, key: Sequence[str] = ("recording",)) -> DataFrame:
-    """f and fneu moved up by one amount for each recording, so that neither is negative."""
-    w = Window.partitionBy(*key)
-    shift = F.greatest(F.lit(0.0), -F.least(F.min("f").over(w), F.min("fneu").over(w)))
-    return df.withColumn("shift", shift).withColumn("f", F.col("f") + F.col("shift")).withColumn("fneu", F.col("fneu") + F.col("shift"))
+    """f and fneu moved up by one amount for each recording, so that neither is negative. One aggregate row a recording is joined."""
+    shift = F.greatest(F.lit(0.0), -F.least(F.min("f"), F.min("fneu"))).alias("shift")
+    return df.join(df.groupBy(*key).agg(shift), list(key)).withColumn("f", F.col("f") + F.col("shift")).withColumn("fneu", F.col("fneu") + F.col("shift"))
 
 
-def fill_gaps(df: DataFrame) -> DataFrame:
+def fill_gaps(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Null and NaN samples by linear interpolation over frames, ends held."""
     x = finite(F.col("f"))
     here = F.when(x.isNotNull(), F.struct("frame", x.alias("x")))
-    before, after = by_roi().rowsBetween(Window.unboundedPreceding, 0), by_roi().rowsBetween(0, Window.unboundedFollowing)
+    w = by_roi(df, key)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     df = df.withColumn("p", F.last(here, ignorenulls=True).over(before)).withColumn("q", F.first(here, ignorenulls=True).over(after))
     share = (F.col("frame") - F.col("p.frame")) / (F.col("q.frame") - F.col("p.frame"))
     blend = F.when(F.col("p.frame") == F.col("q.frame"), F.col("p.x")).otherwise(F.col("p.x") + (F.col("q.x") - F.col("p.x")) * share)
     return df.withColumn("v", F.coalesce(blend, "p.x", "q.x")).drop("p", "q")
 
 
-def dff_first(df: DataFrame, frames: int, baseline: str = "percentile", p: float = 0.1) -> DataFrame:
+def dff_first(df: DataFrame, frames: int, baseline: str = "percentile", p: float = 0.1, key: Sequence[str] | None = None) -> DataFrame:
     """(f - F0) / F0 with F0 from the first frames: their p-quantile (floor 1e-9) or mean (floor 1e-6)."""
-    w, head = Window.partitionBy("roi"), F.when(F.col("frame") < frames, F.col("f"))
+    w, head = Window.partitionBy(*keys(df, key)), F.when(F.col("frame") < frames, F.col("f"))
     f0 = F.greatest(F.percentile(head, p).over(w), F.lit(1e-9)) if baseline == "percentile" else F.greatest(F.avg(head).over(w), F.lit(1e-6))
     return df.withColumn("f0", f0).withColumn("dff", (F.col("f") - F.col("f0")) / F.col("f0"))
 
@@ -53,7 +54,9 @@ def neighbours(xs: Column, i: Column, half: int) -> Column:
 
 
 def dff_rolling(arrays: DataFrame, size: int, p: float, lift: float = 0.0) -> DataFrame:
-    """roi, dff: (f - F0) over one scalar, the 1st percentile of F0, which is a rank filter with repeated ends. Arrow batches, no shuffle."""
+    """recording (if there), roi, dff: (f - F0) over one scalar, the 1st percentile of F0, which is a rank filter with repeated ends.
+    Arrow batches, no shuffle."""
+    key = keys(arrays)
 
     def one(x: np.ndarray) -> np.ndarray:
         f0 = kernels.percentile_filter(x, size, p)
@@ -61,9 +64,14 @@ def dff_rolling(arrays: DataFrame, size: int, p: float, lift: float = 0.0) -> Da
 
     def run(batches):
         for x in batches:
-            yield pd.DataFrame({"roi": x["roi"], "dff": [one(np.asarray(v, float) + lift) for v in x["xs"]]})
+            yield x[key].assign(dff=[one(np.asarray(v, float) + lift) for v in x["xs"]])
 
-    return arrays.select("roi", "xs").mapInPandas(run, "roi long, dff array<double>")
+    return arrays.select(*key, "xs").mapInPandas(run, f"{typed(arrays, key)}, dff array<double>")
+
+
+def typed(df: DataFrame, columns: Sequence[str]) -> str:
+    """Names and types of columns, for the schema of a kernel's output."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def smooth_gaussian(arrays: DataFrame, sigma: float) -> DataFrame:
@@ -98,53 +106,52 @@ def savgol5(arrays: DataFrame, fps: float) -> DataFrame:
     return arrays.withColumn("ys", F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
-def derivative5(df: DataFrame, fps: float, poly: int = 2) -> DataFrame:
+def derivative5(df: DataFrame, fps: float, poly: int = 2, key: Sequence[str] | None = None) -> DataFrame:
     """The long form of the interior of savgol5 (null at the ends); poly 3 or 4 uses the matching weights."""
     weights, divisor = ((-2, -1, 0, 1, 2), 10.0) if poly < 3 else ((1, -8, 0, 8, -1), 12.0)
-    return df.withColumn("dt", derivative(F.col("f"), by_roi(), fps, weights, divisor))
+    return df.withColumn("dt", derivative(F.col("f"), by_roi(df, key), fps, weights, divisor))
 
 
 def power_spectrum(arrays: DataFrame) -> DataFrame:
-    """roi, k, power: |sum x[t] exp(-2 pi i k t / n)|^2 for k up to n / 2, by the definition."""
-    n = F.size("xs")
-    k = F.explode(F.sequence(F.lit(0), (n / 2).cast("int"))).alias("k")
-    one = arrays.select("roi", "xs", k)
-    turn = -2 * math.pi / F.size("xs")
-
-    def part(f) -> Column:
-        terms = F.transform("xs", lambda x, t: x.cast("double") * f(turn * ((F.col("k") * t) % F.size("xs"))))
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    """recording (if there), roi, k, power: |sum x[t] exp(-2 pi i k t / n)|^2 for k up to n / 2, by fast transforms over Arrow batches."""
+    key = keys(arrays)
+
+    def run(batches):
+        for x in batches:
+            yield x[key].assign(power=[np.abs(np.fft.rfft(np.asarray(v, float))) ** 2 if len(v) else np.zeros(0) for v in x["xs"]])
 
-    c, s = part(F.cos), part(F.sin)
-    return one.select("roi", F.col("k").cast("long").alias("k"), (c * c + s * s).alias("power"))
+    out = arrays.select(*key, "xs").mapInPandas(run, f"{typed(arrays, key)}, power array<double>")
+    return out.select(*key, F.posexplode("power").alias("k", "power")).withColumn("k", F.col("k").cast("long"))
 
 
-def robust_z(df: DataFrame) -> DataFrame:
-    med, z = mad_z(F.col("f"), ["roi"])
+def robust_z(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
+    med, z = mad_z(F.col("f"), keys(df, key))
     return df.withColumn("med", med).withColumn("z", z)
 
 
-def onsets(df: DataFrame, hi: float = 3.5, lo: float = 1.5) -> DataFrame:
+def onsets(df: DataFrame, hi: float = 3.5, lo: float = 1.5, key: Sequence[str] | None = None) -> DataFrame:
     """Rows where the hysteresis state of z begins."""
-    active = df.withColumn("active", hysteresis(F.col("z"), hi, lo, by_roi()))
-    active = active.withColumn("was", F.coalesce(F.lag("active").over(by_roi()), F.lit(0)))
+    w = by_roi(df, key)
+    active = df.withColumn("active", hysteresis(F.col("z"), hi, lo, w))
+    active = active.withColumn("was", F.coalesce(F.lag("active").over(w), F.lit(0)))
     return active.where("active = 1 and was = 0").drop("active", "was")
 
 
-def separated(on: DataFrame, least: int) -> DataFrame:
-    """roi, frame of the onsets that are at least `least` frames after the last one kept."""
-    kept = on.groupBy("roi").agg(min_separation(F.collect_list("frame"), least).alias("frames"))
-    return kept.select("roi", F.explode("frames").alias("frame"))
+def separated(on: DataFrame, least: int, key: Sequence[str] | None = None) -> DataFrame:
+    """The key and frame of the onsets that are at least `least` frames after the last one kept."""
+    key = keys(on, key)
+    kept = on.groupBy(*key).agg(min_separation(F.collect_list("frame"), least).alias("frames"))
+    return kept.select(*key, F.explode("frames").alias("frame"))
 
 
-def downsample(df: DataFrame, block: int, frames: int) -> DataFrame:
-    """roi, bin, v: block means; frames past the last whole block are left out."""
-    return df.where(F.col("frame") < frames // block * block).groupBy("roi", F.floor(F.col("frame") / block).alias("bin")).agg(F.avg("f").alias("v"))
+def downsample(df: DataFrame, block: int, frames: int, key: Sequence[str] | None = None) -> DataFrame:
+    """The key, bin, v: block means; frames past the last whole block are left out."""
+    return df.where(F.col("frame") < frames // block * block).groupBy(*keys(df, key), F.floor(F.col("frame") / block).alias("bin")).agg(F.avg("f").alias("v"))
 
 
-def to_uint8(df: DataFrame, value: str, key: Sequence[str] = ("roi",)) -> DataFrame:
+def to_uint8(df: DataFrame, value: str, key: Sequence[str] | None = None) -> DataFrame:
     """u8: value scaled from its 1st-99th percentile to 0..255, 0 where those are equal."""
-    ends = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).over(Window.partitionBy(*key))
+    ends = F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).over(Window.partitionBy(*keys(df, key)))
     df = df.withColumn("ends", ends).withColumn("lo", F.get("ends", F.lit(0))).withColumn("hi", F.get("ends", F.lit(1)))
     share = F.least(F.greatest((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     return df.withColumn("u8", F.when(F.col("hi") > F.col("lo"), F.floor(share * 255 + 0.5)).otherwise(0).cast("int")).drop("ends", "lo", "hi")
@@ -169,12 +176,13 @@ def process(df: DataFrame, fps: float, cutoff: float = 1.0, window_s: float = 45
 
 
 def process_arrays(arrays: DataFrame, fps: float, cutoff: float = 1.0, window_s: float = 45.0, sg_ms: float = 333.0) -> DataFrame:
-    """The same from the array form, without any shuffle: roi, dff, low, dt arrays."""
+    """The same from the array form, without any shuffle: recording (if there), roi, dff, low, dt arrays."""
+    key = keys(arrays)
 
     def run(batches):
         for x in batches:
             dff = [kernels.dff_rolling(np.asarray(v, float), fps, window_s) for v in x["xs"]]
             low = [kernels.lowpass(v, cutoff, fps) for v in dff]
-            yield pd.DataFrame({"roi": x["roi"], "dff": dff, "low": low, "dt": [kernels.savgol_derivative(v, fps, sg_ms, 2) for v in low]})
+            yield x[key].assign(dff=dff, low=low, dt=[kernels.savgol_derivative(v, fps, sg_ms, 2) for v in low])
 
-    return arrays.select("roi", "xs").mapInPandas(run, "roi long, dff array<double>, low array<double>, dt array<double>")
+    return arrays.select(*key, "xs").mapInPandas(run, f"{typed(arrays, key)}, dff array<double>, low array<double>, dt array<double>")

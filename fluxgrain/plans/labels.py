@@ -118,14 +118,8 @@ def q_iscell_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("roi", "y", F.when(F.col("y") == 1, 100).otherwise(0).alias("prob"))
 
 
-@query(with_("trace") + " SELECT a.roi AS roi_a, b.roi AS roi_b, round(1 - corr(a.f, b.f), 6) + 0.0 AS dist FROM trace a JOIN trace b ON a.frame = b.frame AND a.roi < b.roi WHERE a.roi < 60 AND b.roi < 60 GROUP BY ALL")
+@query(with_("trace") + " SELECT a.roi AS roi_a, b.roi AS roi_b, round(1 - corr(a.f, b.f), 6) + 0.0 AS dist FROM trace a JOIN trace b ON a.frame = b.frame AND a.roi < b.roi GROUP BY ALL")
 def q_corr_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.distances(trace_arrays(spark, sf_dir).where("roi < 60")).select("roi_a", "roi_b", r6("dist").alias("dist"))
-
-
-@query()
-def q_corr_dist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_corr_dist over all regions."""
     return C.distances(trace_arrays(spark, sf_dir)).select("roi_a", "roi_b", r6("dist").alias("dist"))
 
 

@@ -33,30 +33,42 @@ def q_cluster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cluster_pairs(cluster(spark, sf_dir))
 
 
-CURVE = ZS + ", k AS (SELECT unnest(range(-10, 11)) AS k), c AS (SELECT a.roi AS roi_a, b.roi AS roi_b, k, sum(a.z * b.z) / 64 AS r, sum((a.f - a.m) * (b.f - b.m)) AS raw FROM (SELECT *, avg(f) OVER (PARTITION BY roi) AS m FROM zz WHERE roi < 12) a, k JOIN (SELECT *, avg(f) OVER (PARTITION BY roi) AS m FROM zz WHERE roi < 12) b ON b.frame = a.frame - k AND a.roi < b.roi GROUP BY ALL)"
+# curves of all pairs, from lists: a[t + k] * b[t]
+CURVE = ZS + """, zl AS MATERIALIZED (SELECT roi, list(z ORDER BY frame) AS z, list(f - m ORDER BY frame) AS g FROM (SELECT *, avg(f) OVER (PARTITION BY roi) AS m FROM zz) GROUP BY roi), k AS (SELECT CAST(unnest(range(-10, 11)) AS INTEGER) AS k),
+ c AS (SELECT a.roi AS roi_a, b.roi AS roi_b, k, list_dot_product(a.z[1 + greatest(k, 0) : 64 + least(k, 0)], b.z[1 + greatest(-k, 0) : 64 - greatest(k, 0)]) / 64 AS r,
+  list_dot_product(a.g[1 + greatest(k, 0) : 64 + least(k, 0)], b.g[1 + greatest(-k, 0) : 64 - greatest(k, 0)]) AS raw FROM zl a JOIN zl b ON a.roi < b.roi, k)"""
 
 
-def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlation curves among the pairs of a stated query set of regions."""
-    z = scored(spark, sf_dir).where("roi < 12")
-    return P.lagged_sums(z, z, 10).where("roi_a < roi_b").withColumn("r", F.col("s") / 64)
+def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """roi_a, roi_b, rs: correlation at lags -10..10 of all pairs."""
+    a = score_arrays(spark, sf_dir).select(F.lit(0).cast("long").alias("grp"), "roi", "zs")
+    return P.curve_blocks(a, 10).withColumn("rs", F.transform("rs", lambda x: x / 64))
+
+
+def peak(curves_: DataFrame, most: int) -> DataFrame:
+    """max_corr and best_lag of the curves rs; of equal maxima the least lag."""
+    c = curves_.withColumn("max_corr", F.array_max("rs"))
+    return c.withColumn("best_lag", (F.array_position("rs", F.col("max_corr")) - 1 - most).cast("int"))
 
 
-@query(CURVE + " SELECT roi_a, roi_b, CAST(k AS INTEGER) AS k, round(r, 6) + 0.0 AS r FROM c")
+@query()
 def q_xcorr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curve(spark, sf_dir).select("roi_a", "roi_b", "k", r6("r").alias("r"))
+    """The curves themselves: too many rows for SQL; tested against plain products, and the queries below are made of them."""
+    c = curves(spark, sf_dir).select("roi_a", "roi_b", F.posexplode("rs").alias("at", "r"))
+    return c.select("roi_a", "roi_b", (F.col("at") - 10).alias("k"), r6("r").alias("r"))
 
 
-@query(CURVE + " SELECT roi_a, roi_b, CAST((array_agg(k ORDER BY r DESC, k))[1] AS INTEGER) AS best_lag, round(max(r), 6) + 0.0 AS max_corr, round(max(r) FILTER (k = 0), 6) + 0.0 AS zero_lag FROM c GROUP BY ALL")
+@query(CURVE + " SELECT roi_a, roi_b, (array_agg(k ORDER BY r DESC, k))[1] AS best_lag, round(max(r), 6) + 0.0 AS max_corr, round(max(r) FILTER (k = 0), 6) + 0.0 AS zero_lag FROM c GROUP BY ALL")
 def q_xcorr_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.best_lags(curve(spark, sf_dir), ["roi_a", "roi_b"], "r").select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"), r6("zero_lag").alias("zero_lag"))
+    return peak(curves(spark, sf_dir), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"), r6(F.get("rs", F.lit(10))).alias("zero_lag"))
 
 
-@query(CURVE + " SELECT roi_a, roi_b, CAST((array_agg(k ORDER BY raw DESC, k))[1] AS INTEGER) AS best_lag, round(max(raw), 6) + 0.0 AS max_raw FROM c GROUP BY ALL")
+@query(CURVE + " SELECT roi_a, roi_b, (array_agg(k ORDER BY raw DESC, k))[1] AS best_lag, round(max(raw), 6) + 0.0 AS max_raw FROM c GROUP BY ALL")
 def q_raw_xcorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trace(spark, sf_dir).where("roi < 12").withColumn("z", F.col("f") - F.avg("f").over(Window.partitionBy("roi")))
-    best = P.best_lags(P.lagged_sums(t, t, 10).where("roi_a < roi_b"), ["roi_a", "roi_b"], "s")
-    return best.select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_raw"))
+    mean = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("xs")
+    a = trace_arrays(spark, sf_dir).withColumn("mean", mean)
+    a = a.select(F.lit(0).cast("long").alias("grp"), "roi", F.transform("xs", lambda x: x.cast("double") - F.col("mean")).alias("zs"))
+    return peak(P.curve_blocks(a, 10), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_raw"))
 
 
 ALL_LAGS = ZS + ", k AS (SELECT unnest(range(-3, 4)) AS k), c AS (SELECT a.cluster AS cluster_a, b.cluster AS cluster_b, a.roi AS roi_a, b.roi AS roi_b, k, sum(a.z * b.z) / 64 AS r FROM zz a, k JOIN zz b ON b.frame = a.frame - k AND a.cluster <= b.cluster GROUP BY ALL)"
@@ -70,24 +82,28 @@ def q_xcorr_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("cluster_a", "cluster_b").agg(F.count("*").alias("n"), r6(F.avg("max_corr")).alias("mean_max"), r6(F.avg("zero_lag")).alias("mean_zero"))
 
 
-@query(with_("trace") + " SELECT a.roi AS roi_a, b.roi AS roi_b, round(corr(a.f, b.f), 6) + 0.0 AS r FROM trace a JOIN trace b ON a.frame = b.frame AND a.recording = b.recording AND a.roi < b.roi AND a.recording < 2 GROUP BY ALL")
+@query(with_("trace") + " SELECT a.roi AS roi_a, b.roi AS roi_b, round(corr(a.f, b.f), 6) + 0.0 AS r FROM trace a JOIN trace b ON a.frame = b.frame AND a.recording = b.recording AND a.roi < b.roi GROUP BY ALL")
 def q_zero_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trace(spark, sf_dir).where("recording < 2")
-    b = t.select("recording", "frame", F.col("roi").alias("roi_b"), F.col("f").alias("g"))
-    return t.join(b, ["recording", "frame"]).where("roi < roi_b").groupBy(F.col("roi").alias("roi_a"), "roi_b").agg(r6(F.corr("f", "g")).alias("r"))
+    """Correlation at lag 0 of all pairs inside each recording."""
+    a = score_arrays(spark, sf_dir).select(F.regexp_extract("cluster", "C([0-9]+)", 1).cast("long").alias("grp"), "roi", "zs")
+    return P.curve_blocks(a, 0).select("roi_a", "roi_b", r6(F.get("rs", F.lit(0)) / 64).alias("r"))
 
 
-WINDOWED = with_("trace") + ", e(event, s, e) AS (VALUES (0, 0, 20), (1, 15, 40), (2, 30, 63), (3, 50, 54)), x AS (SELECT event, roi, frame - s AS frame, CASE WHEN stddev_pop(f) OVER w > 0 THEN (f - avg(f) OVER w) / stddev_pop(f) OVER w ELSE 0 END AS z, e - s + 1 AS n FROM trace JOIN e ON frame BETWEEN s AND e WHERE roi < 8 AND e - s + 1 >= 8 WINDOW w AS (PARTITION BY event, roi))"
+WINDOWED = with_("trace") + """, e(event, s, e) AS (VALUES (0, 0, 20), (1, 15, 40), (2, 30, 63), (3, 50, 54)), x AS (SELECT event, roi, frame - s AS frame, CASE WHEN stddev_pop(f) OVER w > 0 THEN (f - avg(f) OVER w) / stddev_pop(f) OVER w ELSE 0 END AS z, e - s + 1 AS n FROM trace JOIN e ON frame BETWEEN s AND e WHERE e - s + 1 >= 8 WINDOW w AS (PARTITION BY event, roi)),
+ l AS MATERIALIZED (SELECT event, roi, any_value(n) AS n, list(z ORDER BY frame) AS z FROM x GROUP BY event, roi)"""
 
 
-@query(WINDOWED + ", k AS (SELECT unnest(range(-4, 5)) AS k), c AS (SELECT a.event, a.roi AS roi_a, b.roi AS roi_b, k, round(sum(a.z * b.z) / any_value(a.n), 9) AS r FROM x a, k JOIN x b ON b.event = a.event AND b.frame = a.frame - k AND a.roi < b.roi GROUP BY ALL) SELECT event, roi_a, roi_b, CAST((array_agg(k ORDER BY r DESC, k))[1] AS INTEGER) AS best_lag, round(max(r), 6) + 0.0 AS max_corr FROM c GROUP BY ALL")
+@query(WINDOWED + ", k AS (SELECT CAST(unnest(range(-4, 5)) AS INTEGER) AS k), c AS (SELECT a.event, a.roi AS roi_a, b.roi AS roi_b, k, list_dot_product(a.z[1 + greatest(k, 0) : a.n + least(k, 0)], b.z[1 + greatest(-k, 0) : a.n - greatest(k, 0)]) / a.n AS r FROM l a JOIN l b ON b.event = a.event AND a.roi < b.roi, k) SELECT event, roi_a, roi_b, (array_agg(k ORDER BY round(r, 9) DESC, k))[1] AS best_lag, round(max(r), 6) + 0.0 AS max_corr FROM c GROUP BY ALL")
 def q_xcorr_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best lags of all pairs inside each event window of eight frames or more."""
     e = spark.createDataFrame([(0, 0, 20), (1, 15, 40), (2, 30, 63), (3, 50, 54)], "event int, s int, e int").where("e - s + 1 >= 8")
-    t = trace(spark, sf_dir).where("roi < 8").join(F.broadcast(e), F.col("frame").between(F.col("s"), F.col("e")))
-    t = t.withColumn("z", zscore(F.col("f"), ["event", "roi"])).withColumn("frame", F.col("frame") - F.col("s"))
-    sums = P.lagged_sums(t, t, 4, ["event"]).where("roi_a < roi_b").withColumnRenamed("s", "total")
-    c = sums.join(F.broadcast(e), "event").withColumn("r", F.round(F.col("total") / (F.col("e") - F.col("s") + 1), 9))
-    return P.best_lags(c, ["event", "roi_a", "roi_b"], "r").select("event", "roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"))
+    t = trace(spark, sf_dir).join(e, F.col("frame").between(F.col("s"), F.col("e")))
+    t = t.withColumn("z", zscore(F.col("f"), ["event", "roi"]))
+    a = t.groupBy(F.col("event").cast("long").alias("grp"), "roi").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "z"))), lambda x: x["z"]).alias("zs"))
+    n = e.select(F.col("event").cast("long").alias("grp"), (F.col("e") - F.col("s") + 1).alias("n"))
+    c = P.curve_blocks(a, 4).join(n, "grp").withColumn("rs", F.transform("rs", lambda x: x / F.col("n"))).withColumn("top", F.array_max("rs"))
+    c = peak(c.withColumn("rs", F.transform("rs", lambda x: F.round(x, 9))), 4)  # the lag of maxima that are equal but for rounding
+    return c.select(F.col("grp").cast("int").alias("event"), "roi_a", "roi_b", "best_lag", r6("top").alias("max_corr"))
 
 
 PV = ", pv AS (SELECT recording AS pair, roi, (roi * 7919 % 1009 + 1) / 1010 AS p FROM trace WHERE frame = 0)"
@@ -127,15 +143,15 @@ def q_signflip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.signflip(lags(spark, sf_dir), ["pair"], "lag", "roi", 200).select("pair", r6("mean").alias("mean"), r6("p").alias("p"))
 
 
-SHIFTED = ZS + """, q AS (SELECT a.roi AS roi_a, b.roi AS roi_b, a.cluster FROM (SELECT DISTINCT roi, cluster FROM zz) a JOIN (SELECT DISTINCT roi, cluster FROM zz) b ON a.cluster = b.cluster AND a.roi < b.roi WHERE a.roi < 60 AND b.roi < 60),
+SHIFTED = ZS + """, q AS (SELECT a.roi AS roi_a, b.roi AS roi_b, a.cluster FROM (SELECT DISTINCT roi, cluster FROM zz) a JOIN (SELECT DISTINCT roi, cluster FROM zz) b ON a.cluster = b.cluster AND a.roi < b.roi),
  i AS (SELECT -1 AS i UNION ALL SELECT unnest(range(20))), s AS (SELECT *, CASE WHEN i < 0 THEN 0 ELSE (h * h) % 65521 % 32 + 1 END AS shift FROM (SELECT *, (roi_a * 31 + roi_b * 17 + i * 7919 + 104729) % 65521 AS h FROM q, i)),
  r AS (SELECT s.cluster, s.roi_a, s.roi_b, i, sum(a.z * b.z) / 64 AS r FROM s JOIN zz a ON a.roi = s.roi_a JOIN zz b ON b.roi = s.roi_b AND b.frame = (a.frame + s.shift) % 64 GROUP BY ALL),
  o AS (SELECT n.cluster, n.roi_a, n.roi_b, any_value(o.r) AS r, count(*) FILTER (abs(n.r) >= abs(o.r) - 1e-12) AS exceed FROM r n JOIN r o ON o.roi_a = n.roi_a AND o.roi_b = n.roi_b AND o.i = -1 WHERE n.i >= 0 GROUP BY ALL)"""
 
 
-def surrogates(spark: SparkSession, sf_dir: str, which: str = "roi < 60") -> DataFrame:
-    """Pairs inside the clusters of the regions `which`, with shift-surrogate p values."""
-    a = score_arrays(spark, sf_dir).where(which).select("cluster", F.col("roi").alias("roi_a"), F.col("zs").alias("za"))
+def surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs inside each cluster, with shift-surrogate p values."""
+    a = score_arrays(spark, sf_dir).select("cluster", F.col("roi").alias("roi_a"), F.col("zs").alias("za"))
     b = a.select("cluster", F.col("roi_a").alias("roi_b"), F.col("za").alias("zb"))
     return P.shift_surrogates(a.join(b, "cluster").where("roi_a < roi_b"), 20)
 
@@ -176,14 +192,15 @@ def q_p_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CURVE + ", z AS (SELECT roi_a, roi_b, r FROM c WHERE k = 0), t AS (SELECT *, row_number() OVER (PARTITION BY roi_a ORDER BY abs(r) DESC, roi_b) AS rn FROM z) SELECT roi_a, roi_b, round(r, 6) + 0.0 AS r, rn FROM t WHERE rn <= 3")
 def q_topk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three closest partners of each region: a top-k report."""
+    c = curves(spark, sf_dir).select("roi_a", "roi_b", F.get("rs", F.lit(10)).alias("r"))
     rn = F.row_number().over(Window.partitionBy("roi_a").orderBy(F.desc(F.abs("r")), "roi_b")).cast("long")
-    return curve(spark, sf_dir).where("k = 0").withColumn("rn", rn).where("rn <= 3").select("roi_a", "roi_b", r6("r").alias("r"), "rn")
+    return c.withColumn("rn", rn).where("rn <= 3").select("roi_a", "roi_b", r6("r").alias("r"), "rn")
 
 
 @query(CURVE + ", b AS (SELECT roi_a, roi_b, (array_agg(k ORDER BY r DESC, k))[1] AS lag FROM c GROUP BY ALL) SELECT roi_a, round(avg(lag), 6) + 0.0 AS mean_lag FROM b GROUP BY roi_a")
 def q_cell_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = P.best_lags(curve(spark, sf_dir), ["roi_a", "roi_b"], "r")
-    return b.groupBy("roi_a").agg(r6(F.avg("best_lag")).alias("mean_lag"))
+    return peak(curves(spark, sf_dir), 10).groupBy("roi_a").agg(r6(F.avg("best_lag")).alias("mean_lag"))
 
 
 @query("SELECT DISTINCT a.label || 'x' || b.label AS pair, a.label * 100 + b.label AS sort_key FROM embeddings a JOIN embeddings b ON a.label < b.label")
@@ -191,81 +208,3 @@ def q_natural_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = P.cluster_pairs(cluster(spark, sf_dir), with_self=False)
     a, b = F.regexp_extract("cluster_a", "C([0-9]+)", 1), F.regexp_extract("cluster_b", "C([0-9]+)", 1)
     return c.select(F.concat_ws("x", a, b).alias("pair"), (a.cast("int") * 100 + b.cast("int")).alias("sort_key")).orderBy("sort_key")
-
-
-# The queries above whose SQL names an id subset, over all regions of the table; too many pairs for SQL.
-
-
-def whole_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = score_arrays(spark, sf_dir).select(F.lit(0).cast("long").alias("grp"), "roi", "zs")
-    return P.curve_blocks(a, 10).withColumn("rs", F.transform("rs", lambda x: x / 64))
-
-
-def peak(curves: DataFrame, most: int) -> DataFrame:
-    """max_corr and best_lag of the curves rs; of equal maxima the least lag."""
-    c = curves.withColumn("max_corr", F.array_max("rs"))
-    return c.withColumn("best_lag", (F.array_position("rs", F.col("max_corr")) - 1 - most).cast("int"))
-
-
-@query()
-def q_xcorr_curve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = whole_curve(spark, sf_dir).select("roi_a", "roi_b", F.posexplode("rs").alias("at", "r"))
-    return c.select("roi_a", "roi_b", (F.col("at") - 10).alias("k"), r6("r").alias("r"))
-
-
-@query()
-def q_xcorr_best_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peak(whole_curve(spark, sf_dir), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"), r6(F.get("rs", F.lit(10))).alias("zero_lag"))
-
-
-@query()
-def q_raw_xcorr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size("xs")
-    a = trace_arrays(spark, sf_dir).withColumn("mean", mean)
-    a = a.select(F.lit(0).cast("long").alias("grp"), "roi", F.transform("xs", lambda x: x.cast("double") - F.col("mean")).alias("zs"))
-    return peak(P.curve_blocks(a, 10), 10).select("roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_raw"))
-
-
-@query()
-def q_topk_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = whole_curve(spark, sf_dir).select("roi_a", "roi_b", F.get("rs", F.lit(10)).alias("r"))
-    rn = F.row_number().over(Window.partitionBy("roi_a").orderBy(F.desc(F.abs("r")), "roi_b")).cast("long")
-    return c.withColumn("rn", rn).where("rn <= 3").select("roi_a", "roi_b", r6("r").alias("r"), "rn")
-
-
-@query()
-def q_cell_means_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return peak(whole_curve(spark, sf_dir), 10).groupBy("roi_a").agg(r6(F.avg("best_lag")).alias("mean_lag"))
-
-
-@query()
-def q_zero_lag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs inside each recording; the correlation with a constant trace is null."""
-    t = trace(spark, sf_dir)
-    w = Window.partitionBy("roi")
-    z = F.when(F.stddev_pop("f").over(w) > 0, (F.col("f") - F.avg("f").over(w)) / F.stddev_pop("f").over(w)).otherwise(F.lit(float("nan")))
-    a = t.withColumn("z", z).groupBy(F.col("recording").cast("long").alias("grp"), "roi").agg(F.sort_array(F.collect_list(F.struct("frame", "z"))).alias("x"))
-    c = P.curve_blocks(a.select("grp", "roi", F.col("x.z").alias("zs"), F.size("x").alias("n")).select("grp", "roi", F.transform("zs", lambda v: v / F.sqrt(F.col("n"))).alias("zs")), 0)
-    r = F.get("rs", F.lit(0))
-    return c.select("roi_a", "roi_b", r6(F.when(~F.isnan(r), r)).alias("r"))
-
-
-@query()
-def q_xcorr_event_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.createDataFrame([(0, 0, 20), (1, 15, 40), (2, 30, 63), (3, 50, 54)], "event int, s int, e int").where("e - s + 1 >= 8")
-    t = trace(spark, sf_dir).join(F.broadcast(e), F.col("frame").between(F.col("s"), F.col("e")))
-    t = t.withColumn("z", zscore(F.col("f"), ["event", "roi"]))
-    a = t.groupBy(F.col("event").cast("long").alias("grp"), "roi").agg(F.sort_array(F.collect_list(F.struct("frame", "z"))).alias("x"))
-    c = P.curve_blocks(a.select("grp", "roi", F.col("x.z").alias("zs")), 4).join(F.broadcast(e), F.col("grp") == F.col("event"))
-    c = c.withColumn("n", F.col("e") - F.col("s") + 1).withColumn("rs", F.transform("rs", lambda x: F.round(x / F.col("n"), 9)))
-    return peak(c, 4).select("event", "roi_a", "roi_b", "best_lag", r6("max_corr").alias("max_corr"))
-
-
-@query()
-def q_shift_surrogate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(spark, sf_dir, "true").select("roi_a", "roi_b", r6("r").alias("r"), F.col("exceed").cast("long").alias("exceed"), r6("p").alias("p"))
-
-
-@query()
-def q_surrogate_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogate_summary(surrogates(spark, sf_dir, "true"))

@@ -125,8 +125,9 @@ def q_fft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_("trace") + " SELECT roi, frame, round(quantile_cont(f, 0.1) OVER (PARTITION BY roi ORDER BY frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) + 0.0 AS base FROM trace")
 def q_rolling_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = T.by_roi().rowsBetween(-5, 5)
-    return trace(spark, sf_dir).select("roi", "frame", r6(F.percentile("f", 0.1).over(w)).alias("base"))
+    t = trace(spark, sf_dir)
+    w = T.by_roi(t).rowsBetween(-5, 5)
+    return t.select("roi", "frame", r6(F.percentile("f", 0.1).over(w)).alias("base"))
 
 
 @query(
@@ -169,7 +170,7 @@ SEPARATED = """, n AS (SELECT roi, frame, row_number() OVER (PARTITION BY roi OR
 
 @query(with_("trace", "z", "act", recursive=True) + SEPARATED + " SELECT roi, frame FROM k WHERE keep")
 def q_min_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.separated(onsets(spark, sf_dir), 6)
+    return T.separated(onsets(spark, sf_dir), 6).select("roi", "frame")
 
 
 @query(with_("trace", "z", "act") + f", c AS (SELECT roi, count(*) AS n FROM ons GROUP BY roi) SELECT vec_id AS roi, coalesce(n, 0) AS onsets, round(coalesce(n, 0) / greatest(64 / {FPS} / 60, 1e-9), 6) AS per_min FROM embeddings LEFT JOIN c ON roi = vec_id")

@@ -43,19 +43,19 @@ def q_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.overlaps(p, p).where("roi_a < roi_b").select("roi_a", "roi_b", "both", r6("iou").alias("iou"))
 
 
-@query(with_("roi_pixel") + ", p AS (SELECT DISTINCT y, x FROM roi_pixel WHERE roi < 150) SELECT roi, round(avg((p.y IS NOT NULL)::INT), 6) AS share, avg((p.y IS NOT NULL)::INT) < 0.3 AS keep FROM roi_pixel r LEFT JOIN p ON p.y = r.y AND p.x = r.x WHERE roi >= 150 GROUP BY roi")
+@query(with_("roi_pixel") + ", p AS (SELECT DISTINCT y, x FROM roi_pixel WHERE roi % 2 = 0) SELECT roi, round(avg((p.y IS NOT NULL)::INT), 6) AS share, avg((p.y IS NOT NULL)::INT) < 0.3 AS keep FROM roi_pixel r LEFT JOIN p ON p.y = r.y AND p.x = r.x WHERE roi % 2 <> 0 GROUP BY roi")
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of odd id covered by those of even id: a stand-in for two selections that hold all regions."""
     p = roi_pixel(spark, sf_dir)
-    c = S.covered(p.where("roi >= 150"), p.where("roi < 150"))
+    c = S.covered(p.where("roi % 2 <> 0"), p.where("roi % 2 = 0"))
     return c.select("roi", r6("share").alias("share"), (F.col("share") < 0.3).alias("keep"))
 
 
-@query()
-def q_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions of odd id covered by those of even id: a stand-in for two selections, both of which grow with the table."""
-    p = roi_pixel(spark, sf_dir)
-    c = S.covered(p.where("roi % 2 <> 0"), p.where("roi % 2 = 0"))
-    return c.select("roi", r6("share").alias("share"), (F.col("share") < 0.3).alias("keep"))
+@query(with_("roi_pixel") + " SELECT roi, count(*) AS n FROM (SELECT roi, y - 3 AS y, x - 5 AS x FROM roi_pixel) WHERE y >= 0 AND y < 40 AND x >= 0 AND x < 30 GROUP BY roi")
+def q_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of moved regions that lie inside a smaller image."""
+    moved = roi_pixel(spark, sf_dir).withColumn("y", F.col("y") - 3).withColumn("x", F.col("x") - 5)
+    return S.in_bounds(moved, 40, 30).groupBy("roi").agg(F.count("*").alias("n"))
 
 
 @query(with_("roi_pixel") + CENTRES + ", d AS (SELECT a.roi, b.roi AS other, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM cen a JOIN cen b ON a.roi <> b.roi AND abs(floor(a.cx / 12) - floor(b.cx / 12)) <= 1 AND abs(floor(a.cy / 12) - floor(b.cy / 12)) <= 1), r AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY dist, other) AS rn FROM d) SELECT roi, other, round(dist, 6) AS dist, rn FROM r WHERE rn <= 5")
@@ -87,20 +87,35 @@ def q_leadlag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.crossJoin(c).select("roi", F.round("s", 3).alias("s"), (F.col("s") <= F.col("c")).alias("leads"))
 
 
-@query(
+PULL = (
     with_("trace", "roi_pixel")
     + CENTRES
     + """, v AS (SELECT roi, avg(f) FILTER (frame >= 32) - avg(f) FILTER (frame < 32) AS v FROM trace GROUP BY roi), q AS (SELECT quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM v),
  n AS (SELECT roi, least(greatest((v - lo) / (hi - lo), 0), 1) AS v FROM v, q), d AS (SELECT a.roi, b.roi AS other, sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2) AS dist FROM cen a JOIN cen b ON a.roi <> b.roi AND abs(floor(a.cx / 12) - floor(b.cx / 12)) <= 1 AND abs(floor(a.cy / 12) - floor(b.cy / 12)) <= 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY dist, other) AS rn FROM d), e AS (SELECT r.roi, greatest(w.v - n.v, 0) AS up, o.cx - c.cx AS dx, o.cy - c.cy AS dy, nullif(dist, 0) AS dist FROM r JOIN n ON n.roi = r.roi JOIN n w ON w.roi = r.other JOIN cen c ON c.roi = r.roi JOIN cen o ON o.roi = r.other WHERE rn <= 5)
- SELECT roi, round(coalesce(sum(up * dx / dist), 0), 6) + 0.0 AS vx, round(coalesce(sum(up * dy / dist), 0), 6) + 0.0 AS vy FROM e GROUP BY roi"""
+ r AS (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY dist, other) AS rn FROM d), e AS (SELECT r.roi, greatest(w.v - n.v, 0) AS up, o.cx - c.cx AS dx, o.cy - c.cy AS dy, dist + 1e-6 AS dist FROM r JOIN n ON n.roi = r.roi JOIN n w ON w.roi = r.other JOIN cen c ON c.roi = r.roi JOIN cen o ON o.roi = r.other WHERE rn <= 5),
+ u AS (SELECT roi, sum(up * dx / dist) / (sum(up) + 1e-9) AS vx, sum(up * dy / dist) / (sum(up) + 1e-9) AS vy FROM e GROUP BY roi)"""
 )
-def q_pull_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def pulls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pull vectors of the regions, and the neighbours that they come from."""
     half = trace(spark, sf_dir).groupBy("roi").agg((F.avg(F.expr("if(frame >= 32, f, null)")) - F.avg(F.expr("if(frame < 32, f, null)"))).alias("d"))
-    ends = F.broadcast(half.agg(F.percentile("d", 0.05).alias("lo"), F.percentile("d", 0.95).alias("hi")))
+    ends = half.agg(F.percentile("d", 0.05).alias("lo"), F.percentile("d", 0.95).alias("hi"))
     v = half.crossJoin(ends).select("roi", F.least(F.greatest((F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0)).alias("v"))
     points = S.centroids(roi_pixel(spark, sf_dir))
-    return S.pull_vectors(v, S.neighbours(points, 5, 12.0), points).select("roi", r6("vx").alias("vx"), r6("vy").alias("vy"))
+    near = S.neighbours(points, 5, 12.0)
+    return S.pull_vectors(v, near, points), near
+
+
+@query(PULL + " SELECT roi, round(vx, 6) + 0.0 AS vx, round(vy, 6) + 0.0 AS vy FROM u")
+def q_pull_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulls(spark, sf_dir)[0].select("roi", r6("vx").alias("vx"), r6("vy").alias("vy"))
+
+
+@query(PULL + ", m AS (SELECT r.roi, avg(u.vx) AS mx, avg(u.vy) AS my FROM r JOIN u ON u.roi = r.other WHERE rn <= 5 GROUP BY r.roi) SELECT u.roi, round((vx + coalesce(mx, vx)) / 2, 6) + 0.0 AS vx, round((vy + coalesce(my, vy)) / 2, 6) + 0.0 AS vy FROM u LEFT JOIN m USING (roi)")
+def q_smoothed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, near = pulls(spark, sf_dir)
+    return S.smoothed_vectors(vectors, near).select("roi", r6("vx").alias("vx"), r6("vy").alias("vy"))
 
 
 MOVIE = "movie AS (SELECT label AS recording, vec_id AS frame, CAST(unnest(range(64)) AS BIGINT) // 8 AS y, CAST(unnest(range(64)) AS BIGINT) % 8 AS x, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 1000) AS BIGINT) AS v FROM embeddings)"
@@ -130,17 +145,12 @@ def grid(spark: SparkSession) -> DataFrame:
     return g.withColumn("v", ((F.col("y") * 13 + F.col("x") * 29) % 101).cast("double"))
 
 
-DILATED = ", di AS (SELECT DISTINCT r.y + a AS y, r.x + b AS x FROM roi_pixel r, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE r.roi < 20 AND abs(a) + abs(b) <= 2)"
+DILATED = ", di AS (SELECT DISTINCT r.y + a AS y, r.x + b AS x FROM roi_pixel r, (SELECT unnest(range(-2, 3)) AS a), (SELECT unnest(range(-2, 3)) AS b) WHERE abs(a) + abs(b) <= 2)"
 
 
 @query(with_("roi_pixel") + GRID + DILATED + ", base AS (SELECT median(v) AS m FROM g ANTI JOIN di USING (y, x)) SELECT g.y, g.x, CASE WHEN di.y IS NULL THEN v ELSE m END AS v FROM g CROSS JOIN base LEFT JOIN di ON di.y = g.y AND di.x = g.x")
 def q_residual_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.residual(grid(spark), S.dilated(roi_pixel(spark, sf_dir).where("roi < 20").select("y", "x"), 2))
-
-
-@query()
-def q_residual_image_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_residual_image over all regions."""
+    """The image without its regions, their surroundings included."""
     return S.residual(grid(spark), S.dilated(roi_pixel(spark, sf_dir).select("y", "x"), 2))
 
 
@@ -162,7 +172,7 @@ def q_mask_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("npix"), r6(F.sqrt(F.count("*") / F.pi())).alias("radius"), F.median("y").alias("my"), F.median("x").alias("mx"))
 
 
-@query(GRID[2:].join(["WITH ", ""]) + ", c AS (SELECT y, x, v FROM g WHERE y BETWEEN 5 AND 64 AND x BETWEEN 7 AND 50) SELECT g.y, g.x, coalesce(c.v, 0) AS v FROM g LEFT JOIN c USING (y, x)")
+@query("SELECT CAST(i // 60 AS BIGINT) AS y, CAST(i % 60 AS BIGINT) AS x, CASE WHEN i // 60 BETWEEN 5 AND 64 AND i % 60 BETWEEN 7 AND 50 THEN CAST((i // 60 * 13 + i % 60 * 29) % 101 AS DOUBLE) ELSE 0 END AS v FROM range(4200) t(i)")
 def q_image_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark)
     cropped = g.where("y between 5 and 64 and x between 7 and 50").select((F.col("y") - 5).alias("cy"), (F.col("x") - 7).alias("cx"), "v")
@@ -170,14 +180,8 @@ def q_image_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("y", "x").join(placed, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-@query(with_("roi_pixel") + GRID + ", c AS (SELECT roi, CAST(round_even(avg(y), 0) AS BIGINT) AS cy, CAST(round_even(avg(x), 0) AS BIGINT) AS cx FROM roi_pixel WHERE roi < 40 GROUP BY roi), p AS (SELECT roi, i, j, coalesce(g.v, 0) AS v FROM c CROSS JOIN (SELECT unnest(range(-4, 4)) AS i) CROSS JOIN (SELECT unnest(range(-4, 4)) AS j) LEFT JOIN g ON g.y = cy + i AND g.x = cx + j) SELECT roi, count(*) AS n, round(sum(v), 6) AS total FROM p GROUP BY roi")
+@query(with_("roi_pixel") + GRID + ", c AS (SELECT roi, CAST(round_even(avg(y), 0) AS BIGINT) AS cy, CAST(round_even(avg(x), 0) AS BIGINT) AS cx FROM roi_pixel GROUP BY roi), p AS (SELECT roi, i, j, coalesce(g.v, 0) AS v FROM c CROSS JOIN (SELECT unnest(range(-4, 4)) AS i) CROSS JOIN (SELECT unnest(range(-4, 4)) AS j) LEFT JOIN g ON g.y = cy + i AND g.x = cx + j) SELECT roi, count(*) AS n, round(sum(v), 6) AS total FROM p GROUP BY roi")
 def q_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patches(spark, roi_pixel(spark, sf_dir).where("roi < 40"))
-
-
-@query()
-def q_patches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_patches over all regions."""
     return patches(spark, roi_pixel(spark, sf_dir))
 
 

@@ -85,16 +85,8 @@ def q_anti_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT o_orderkey AS k, o_totalprice AS a, NULL::DOUBLE AS b FROM orders WHERE o_orderkey < 50 UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier WHERE s_suppkey < 50")
+@query("SELECT o_orderkey AS k, o_totalprice AS a, NULL::DOUBLE AS b FROM orders UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
 def q_union_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 50").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
-    s = read(spark, sf_dir, "supplier").where("s_suppkey < 50").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
-    return o.unionByName(s, allowMissingColumns=True)
-
-
-@query()
-def q_union_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_union_pad over all orders and suppliers."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("b"))
     return o.unionByName(s, allowMissingColumns=True)
@@ -108,19 +100,20 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named("union", a.union(b).distinct()).union(named("both", a.intersect(b))).union(named("minus", a.subtract(b)))
 
 
-@query(with_("trace") + " SELECT frame, " + ", ".join(f"round(max(f) FILTER (roi = {i}), 6) + 0.0 AS roi_{i}" for i in range(8)) + " FROM trace WHERE roi < 8 GROUP BY frame")
-def q_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trace(spark, sf_dir).where("roi < 8").withColumn("f", r6("f"))
-    return sinks.wide(t, "frame", "roi", "f", range(8))
-
-
 @query()
-def q_pivot_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_pivot_wide over all regions, a column each."""
+def q_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each region, whose number SQL can't know beforehand: tested against the arrays; q_pivot_recordings has SQL."""
     t = trace(spark, sf_dir).withColumn("f", r6("f"))
     return sinks.wide(t, "frame", "roi", "f", sorted(r["roi"] for r in t.select("roi").distinct().collect()))
 
 
+@query(with_("trace") + ", m AS (SELECT recording, frame, round(avg(f), 6) + 0.0 AS f FROM trace GROUP BY ALL) SELECT frame, " + ", ".join(f"max(f) FILTER (recording = {i}) AS rec_{i}" for i in range(10)) + " FROM m GROUP BY frame")
+def q_pivot_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each recording's mean trace, over all regions."""
+    m = trace(spark, sf_dir).groupBy("recording", "frame").agg(r6(F.avg("f")).alias("f"))
+    return sinks.wide(m, "frame", "recording", "f", range(10), "rec_")
+
+
 @query("SELECT unnest(['rois', 'frames', 'labels']) AS key, unnest([count(*)::VARCHAR, max(len(embedding))::VARCHAR, count(DISTINCT label)::VARCHAR]) AS value FROM embeddings")
 def q_meta_key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
