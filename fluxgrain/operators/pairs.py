@@ -146,3 +146,57 @@ def curve_blocks(arrays: DataFrame, most: int, block: int = 128) -> DataFrame:
         return pd.DataFrame({"grp": k[0], "roi_a": np.minimum(a, b)[keep], "roi_b": np.maximum(a, b)[keep], "rs": list(sums[keep])})
 
     return dealt.groupBy("grp", "p", "q").applyInPandas(one, "grp long, roi_a long, roi_b long, rs array<double>")
+
+
+def bin_correlation(traces: DataFrame, bins: DataFrame, frames: int, most: int, least: int = 8) -> DataFrame:
+    """grp (the bin), roi_a, roi_b, n, rs: correlation curves at lags -most..most of all pairs inside each listed bin of `frames`
+    frames. traces: roi, frame, f; bins: bin. Bins of fewer than `least` samples are left out; a constant trace correlates 0."""
+    t = traces.withColumn("bin", F.floor(F.col("frame") / frames)).join(bins.select("bin"), "bin", "left_semi")
+    return _curves(t, "bin", most, least)
+
+
+def from_onsets(traces: DataFrame, starts: DataFrame, most: int, least: int = 8) -> DataFrame:
+    """grp (the start), roi_a, roi_b, n, rs: correlation curves of all pairs from each listed start (column s, a frame) to the end."""
+    return _curves(traces.join(starts.select("s"), F.col("frame") >= F.col("s")), "s", most, least)
+
+
+def _curves(t: DataFrame, group: str, most: int, least: int) -> DataFrame:
+    a = t.groupBy(F.col(group).cast("long").alias("grp"), "roi").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "f"))), lambda x: x["f"].cast("double")).alias("xs"), F.avg("f").alias("m"), F.stddev_pop("f").alias("sd"), F.count("*").alias("n"))
+    a = a.where(F.col("n") >= least)
+    z = a.select("grp", "roi", F.transform("xs", lambda x: F.when(F.col("sd") > 0, (x - F.col("m")) / F.col("sd")).otherwise(0.0)).alias("zs"))
+    n = a.groupBy("grp").agg(F.max("n").alias("n"))
+    return curve_blocks(z, most).join(n, "grp").select("grp", "roi_a", "roi_b", "n", F.transform("rs", lambda x: x / F.col("n")).alias("rs"))
+
+
+def mean_shift_null(traces: DataFrame, clusters: DataFrame, rounds: int, least_shift: int, most_shift: int, two_sided: bool = False, seed: int = 1) -> DataFrame:
+    """cluster_a, cluster_b, n_a, n_b, obs, p: the mean correlation at lag 0 of all pairs between two clusters (a < b), and how often it
+    is reached where each region of b is shifted around by its own random offset.
+
+    traces: roi, zs. The mean over pairs is linear, so cluster a enters by its mean trace: no pair of regions is formed, and a
+    round costs the regions of b, whatever the size of a. Shifts come from integer arithmetic."""
+    z = traces.join(clusters, "roi").select("cluster", "roi", "zs")
+    # the outer form: no filter on zs is inferred, which would be pushed below and compute zs once more, lambdas and all
+    mean = z.select("cluster", "roi", F.posexplode_outer("zs").alias("t", "z")).where("t is not null").groupBy("cluster", "t").agg(F.avg("z").alias("m"), F.count("*").alias("n"))
+    mean = mean.groupBy(F.col("cluster").alias("cluster_a")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "m"))), lambda x: x["m"]).alias("ms"), F.max("n").alias("n_a"))
+    pairs = z.withColumnRenamed("cluster", "cluster_b").join(mean, F.col("cluster_a") < F.col("cluster_b"))  # a region and a cluster's mean
+
+    def run(batches):
+        i = np.arange(rounds)
+        for x in batches:
+            out = []
+            for roi, ms, zs in zip(x["roi"], x["ms"], x["zs"], strict=True):
+                h = (int(roi) * 31 + i * 7919 + seed * 104729) % 65521
+                shift = np.concatenate([[0], h * h % 65521 % (most_shift - least_shift + 1) + least_shift])  # 0: as observed
+                t = np.arange(len(zs))
+                out.append(np.asarray(zs)[(t[None, :] - shift[:, None]) % len(zs)] @ np.asarray(ms) / len(zs))
+            yield x[["cluster_a", "cluster_b", "n_a"]].assign(rs=out)
+
+    each = pairs.select("cluster_a", "cluster_b", "n_a", "roi", "ms", "zs").mapInPandas(run, "cluster_a string, cluster_b string, n_a long, rs array<double>")
+    each = each.select("cluster_a", "cluster_b", "n_a", F.posexplode("rs").alias("i", "r"))
+    null = each.groupBy("cluster_a", "cluster_b", "i").agg(F.avg("r").alias("r"), F.count("*").alias("n_b"), F.max("n_a").alias("n_a"))
+    # one row a pair with its rounds, the first of which is the observation
+    one = null.groupBy("cluster_a", "cluster_b").agg(F.sort_array(F.collect_list(F.struct("i", "r"))).alias("rs"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    one = one.withColumn("obs", F.get("rs", F.lit(0))["r"])
+    size = lambda x: F.abs(x) if two_sided else x
+    hits = F.size(F.filter(F.slice("rs", 2, rounds), lambda x: size(x["r"]) >= size(F.col("obs")) - 1e-12))
+    return one.select("cluster_a", "cluster_b", "n_a", "n_b", "obs", ((hits + 1) / F.lit(rounds + 1)).alias("p"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxgrain.operators.ranks import running_totals
+
 # fixed values: the fitted weights, means and scales of (bias, event rate, peak derivative, pixels)
 WEIGHTS, MEANS, SCALES = (2.3662, 1.0454, 1.1252, 0.2987), (4.079, 11.24, 41.178), (1.146, 4.214, 37.065)
 
@@ -29,16 +31,18 @@ def soft_mask(scores: DataFrame, level: float, top_percent: float | None = None,
     """keep: score >= level (or the top percent, ties kept). If that keeps under 2% and at least 10 scores are positive, mean + sd of
     the positive ones where it keeps more; if over `most` remain, the strict level. One aggregate row is broadcast back."""
     if top_percent is not None:
-        rank = F.rank().over(Window.orderBy(F.desc("score")))
-        k = F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy()) * top_percent / 100))
-        s = scores.withColumn("first", rank <= k)
+        by = scores.where("score is not null").groupBy((-F.col("score")).alias("neg")).agg(F.count("*").alias("n"))
+        upto = running_totals(by, "neg", ["n"]).withColumn("above", F.col("upto_n") - F.col("n"))  # how many score higher
+        k = scores.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * top_percent / 100)).alias("k"))
+        edge = upto.crossJoin(k).where("above < k").agg(F.max("neg").alias("worst"))
+        s = scores.crossJoin(edge).withColumn("first", F.coalesce(-F.col("score") <= F.col("worst"), F.lit(False))).drop("worst")
     else:
         s = scores.withColumn("first", F.col("score") >= level)
     positive = F.when(F.col("score") > 0, F.col("score"))
     a = s.agg(F.avg(F.col("first").cast("double")).alias("share"), F.count(positive).alias("n_pos"), (F.avg(positive) + F.stddev_pop(positive)).alias("edge"), F.count_if("first").alias("n_first"))
-    s = s.crossJoin(F.broadcast(a)).withColumn("second", F.col("score") >= F.col("edge"))
+    s = s.crossJoin(a).withColumn("second", F.col("score") >= F.col("edge"))
     b = s.agg(F.count_if("second").alias("n_second"))
-    s = s.crossJoin(F.broadcast(b))
+    s = s.crossJoin(b)
     relax = (F.col("share") < 0.02) & (F.col("n_pos") >= 10) & (F.col("n_second") > F.col("n_first"))
     s = s.withColumn("kept", F.when(relax, F.col("second")).otherwise(F.col("first"))).withColumn("total", F.when(relax, F.col("n_second")).otherwise(F.col("n_first")))
     return s.select(*scores.columns, F.when(F.col("total") > most, F.col("score") >= strict).otherwise(F.col("kept")).alias("keep"))
@@ -54,20 +58,17 @@ def confusion(df: DataFrame, score: str, label: str, level: float) -> DataFrame:
 
 
 def thresholds(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp, f1, youden for a threshold at each distinct score: one aggregation and a running total."""
-    g = df.groupBy(score).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    every = Window.partitionBy(F.lit(0))
-    g = g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(w))
-    g = g.withColumn("p", F.sum("pos").over(every)).withColumn("q", F.sum(F.col("n") - F.col("pos")).over(every))
+    """score, tp, fp, f1, youden for a threshold at each distinct score: one aggregation and running totals over ranges of scores."""
+    g = df.groupBy((-F.col(score)).alias("neg")).agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n")).withColumn("other", F.col("n") - F.col("pos"))
+    whole = g.agg(F.sum("pos").alias("p"), F.sum("other").alias("q"))
+    g = running_totals(g, "neg", ["pos", "other"]).crossJoin(whole).select((-F.col("neg")).alias(score), F.col("upto_pos").alias("tp"), F.col("upto_other").alias("fp"), "p", "q")
     return g.select(score, "tp", "fp", (2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("p"))).alias("f1"), (F.col("tp") / F.col("p") - F.col("fp") / F.col("q")).alias("youden"))
 
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """The rank-sum statistic over n1 * n0, ties at their mean rank. Ranks come from distinct scores, not from all rows."""
+    """The rank-sum statistic over n1 * n0, ties at their mean rank. Ranks come from distinct scores, by running totals over ranges."""
     g = df.groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("rank", before + (F.col("n") + 1) / 2)
+    g = running_totals(g, score, ["n"]).withColumn("rank", F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2)
     n1, n0 = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return g.agg(((F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auroc"))
 
@@ -78,12 +79,36 @@ def effective_labels(log: DataFrame) -> DataFrame:
     return last.select("recording", "roi", F.col("last.label").alias("label")).where("label is not null")
 
 
-def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy()
-    for c in columns:
-        sd = F.stddev_pop(c).over(w)
-        df = df.withColumn(f"{c}_z", (F.col(c) - F.avg(c).over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
-    return df
+def moments_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: mean and standard deviation (1 where it is 0) of each column, as <column>_m and <column>_s."""
+    sd = lambda c: F.when(F.stddev_pop(c) == 0, 1.0).otherwise(F.stddev_pop(c)).alias(f"{c}_s")
+    return df.agg(*(F.avg(c).alias(f"{c}_m") for c in columns), *(sd(c) for c in columns))
+
+
+def standardise(df: DataFrame, columns: Sequence[str], moments: DataFrame | None = None) -> DataFrame:
+    """<column>_z from the moments of df, or from given ones; their one row is joined."""
+    m = moments_of(df, columns) if moments is None else moments
+    z = [((F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s")).alias(f"{c}_z") for c in columns]
+    return df.crossJoin(m).select(*df.columns, *z)
+
+
+def fit_scorer(df: DataFrame, columns: Sequence[str], label: str, ridge: float = 1e-3) -> dict:
+    """Fit and report: the means, scales and weights of a logistic score, the threshold of best F1, and its confusion and AUROC."""
+    m = moments_of(df, columns).first().asDict()
+    moments = df.sparkSession.createDataFrame([tuple(m.values())], list(m))
+    z = standardise(df, columns, moments)
+    weights = fit_logistic(z, [f"{c}_z" for c in columns], label, ridge)
+    fit = {"columns": list(columns), "weights": weights, "means": [m[f"{c}_m"] for c in columns], "scales": [m[f"{c}_s"] for c in columns]}
+    scored = apply_scorer(df, fit).withColumn("_score", F.round("score", 12))
+    best = thresholds(scored, "_score", label).orderBy(F.desc("f1"), F.desc("_score")).first()
+    report = confusion(scored, "_score", label, best["_score"]).first().asDict()
+    return fit | {"threshold": best["_score"], "auroc": auroc(scored, "_score", label).first()["auroc"]} | report
+
+
+def apply_scorer(df: DataFrame, fit: dict) -> DataFrame:
+    """df with score, and keep where the fit has a threshold."""
+    s = df.withColumn("score", cell_score([F.col(c) for c in fit["columns"]], fit["weights"], fit["means"], fit["scales"]))
+    return s.withColumn("keep", F.round("score", 12) >= fit["threshold"]) if "threshold" in fit else s
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, ridge: float = 1e-3, rounds: int = 25, tol: float = 1e-8) -> list[float]:

@@ -5,10 +5,13 @@ Tables of several recordings have the column recording; regions and pixels of di
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrain.functions.columns import keys
+from fluxgrain.session import shared_folder
 
 
 def of(*tables: DataFrame) -> list[str]:
@@ -74,18 +77,35 @@ def in_bounds(pixels: DataFrame, ly: int, lx: int) -> DataFrame:
     return pixels.where((F.col("y") >= 0) & (F.col("y") < ly) & (F.col("x") >= 0) & (F.col("x") < lx))
 
 
-def merge_by_iou(found: DataFrame, ordered: list[int], limit: float = 0.3) -> list[int]:
-    """Regions accepted in the given order unless one accepted before overlaps by `limit` or more. found: roi_a, roi_b, iou. The
-    order makes this sequential; only pairs over the limit come to the driver."""
-    against: dict[int, set[int]] = {}
-    for r in found.where(F.col("iou") >= limit).where("roi_a <> roi_b").select("roi_a", "roi_b").toLocalIterator():
-        against.setdefault(r["roi_a"], set()).add(r["roi_b"])
-        against.setdefault(r["roi_b"], set()).add(r["roi_a"])
-    kept: dict[int, None] = {}
-    for roi in ordered:
-        if not against.get(roi, set()) & kept.keys():
-            kept[roi] = None
-    return list(kept)
+def merge_by_iou(found: DataFrame, order: DataFrame, limit: float = 0.3, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """roi of the regions accepted in the given order (roi, rank; ranks differ) unless one accepted before overlaps by `limit` or
+    more. found: roi_a, roi_b, iou.
+
+    Greedy acceptance in rounds: a region all of whose earlier overlapping ones are decided is decided itself. The rounds are as many
+    as the longest chain of regions that wait for one another, not as many as regions; all state is in tables, which `keep` writes and
+    reads again (saved in the session's shared folder by default), and only emptiness comes to the driver."""
+    keep = keep or saved
+    o = order.select("roi", "rank")
+    both = found.where(F.col("iou") >= limit).where("roi_a <> roi_b")
+    both = both.select("roi_a", "roi_b").union(both.select(F.col("roi_b").alias("roi_a"), F.col("roi_a").alias("roi_b"))).distinct()
+    a, b = (o.select(F.col("roi").alias(f"roi_{s}"), F.col("rank").alias(f"rank_{s}")) for s in "ab")
+    waits = keep(both.join(a, "roi_a").join(b, "roi_b").where("rank_b < rank_a").select(F.col("roi_a").alias("roi"), F.col("roi_b").alias("earlier")))
+    open_ = keep(o.select("roi"))
+    taken = open_.limit(0)
+    while not open_.isEmpty():
+        ready = keep(open_.join(waits.select("roi").distinct(), "roi", "left_anti"))  # nothing earlier is undecided or accepted
+        taken = keep(taken.union(ready))
+        beaten = waits.join(ready.select(F.col("roi").alias("earlier")), "earlier", "left_semi").select("roi").distinct()
+        gone = keep(ready.union(beaten))
+        open_ = keep(open_.join(gone, "roi", "left_anti"))
+        waits = keep(waits.join(gone, "roi", "left_anti").join(beaten.select(F.col("roi").alias("earlier")), "earlier", "left_anti").select("roi", "earlier"))
+    return taken
+
+
+def saved(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession, "merge")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neighbours(points: DataFrame, k: int, cell: float, reach: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fluxgrain.functions import kernels
 from fluxgrain.operators import clustering as C
 from fluxgrain.operators import scoring as S
+from fluxgrain.operators.ranks import row_numbers
 from fluxgrain.plans.registry import query, r6
 from fluxgrain.sources.standins import read, trace_arrays, with_
 
@@ -103,8 +104,9 @@ def q_keep_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     todo = s.join(s.where("roi % 6 = 0").select("roi"), "roi", "left_anti")
-    rn = lambda mode: F.row_number().over(Window.orderBy(*S.work_queue(todo, mode))).cast("long")
-    return todo.select("roi", rn("pooled").alias("pooled"), rn("uncertainty").alias("uncertain"))
+    todo = todo.withColumn("down", -F.col("score")).withColumn("doubt", F.abs(F.col("score") - 0.5))
+    a = row_numbers(todo, "down", S.work_queue(todo, "pooled"), "pooled").select("roi", "pooled")
+    return a.join(row_numbers(todo, "doubt", S.work_queue(todo, "uncertainty"), "uncertain").select("roi", "uncertain"), "roi")
 
 
 @query(f"WITH {FEATURES} SELECT recording, (array_agg(roi ORDER BY score DESC, roi))[1] AS best, round(max(score), 6) AS score FROM score GROUP BY recording")

@@ -192,9 +192,8 @@ def patches(spark: SparkSession, pixels: DataFrame) -> DataFrame:
     return p.join(grid(spark), ["y", "x"], "left").groupBy("roi").agg(F.count("*").alias("n"), r6(F.sum(F.coalesce("v", F.lit(0.0)))).alias("total"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_("roi_pixel")[5:] + ", o AS (SELECT a.roi AS a, b.roi AS b FROM roi_pixel a JOIN roi_pixel b ON a.y = b.y AND a.x = b.x AND a.roi > b.roi GROUP BY ALL HAVING count(*) / (18 - count(*)) >= 0.3), n AS (SELECT roi, row_number() OVER (ORDER BY roi) AS i, coalesce(list(o.b) FILTER (o.b IS NOT NULL), []) AS earlier FROM (SELECT DISTINCT roi FROM roi_pixel) r LEFT JOIN o ON o.a = r.roi GROUP BY roi), k AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(k.kept, n.earlier) THEN k.kept ELSE list_append(k.kept, n.roi) END FROM k JOIN n ON n.i = k.i + 1) SELECT unnest(kept) AS roi FROM k WHERE i = (SELECT max(i) FROM n)")
 def q_merge_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent acceptance by overlap: sequential on candidate pairs, tested against a plain loop."""
+    """Order-dependent acceptance by overlap, in the order of the ids."""
     p = roi_pixel(spark, sf_dir)
-    kept = S.merge_by_iou(S.overlaps(p, p), sorted(r["roi"] for r in p.select("roi").distinct().collect()))
-    return spark.createDataFrame([(int(k),) for k in kept], "roi long")
+    return S.merge_by_iou(S.overlaps(p, p), p.select("roi").distinct().withColumn("rank", F.col("roi")))

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrain.plans.registry import query
+from fluxgrain.session import shared_folder
 from fluxgrain.sources.standins import read
 from fluxgrain.streaming import streams as S
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or tempfile.mkdtemp(prefix='fluxgrain-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _events(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:

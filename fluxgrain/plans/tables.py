@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fluxgrain.session import shared_folder
 from fluxgrain.plans.registry import query, r6
 from fluxgrain.sources import sinks, text
 from fluxgrain.sources.standins import cluster, read, trace, with_
@@ -148,13 +149,10 @@ def q_min_max_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT 'hip' AS area, '2p' AS mode, 'a,b' AS solution, 'q\"x' AS Notes, count(*) AS n FROM documents")
 def q_metadata_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as metadata rows written to CSV in the shared folder and read back through the dirty-file reader."""
-    import tempfile
-
-    sc = spark.sparkContext
-    where = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fluxgrain-")).rstrip("/") + "/metadata-csv"
+    where = shared_folder(spark, "metadata-csv")
     d = read(spark, sf_dir, "documents")
     cols = "human_ID area slice_ID AAV DIV 1P_2P video min_start baseline_min frames fs solution Pos# region good_bad_meh Notes".split()
     v = [F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, " Hip").otherwise("hip "), F.lit("s"), F.lit("rg8m"), F.lit("9"), F.when(F.col("doc_id") % 3 == 0, "2P").otherwise("2p"), F.lit("v"), F.lit(0.0), F.lit(1.0), F.lit(100), F.lit(15.07), F.lit("a,b"), F.lit("1"), F.lit("r"), F.lit("?"), F.lit('q"x')]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -20,3 +25,21 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Without that setting a local session (as in tests)
+    gets a temporary one that goes with the process; a cluster gets an error, since its machines would not see each other's files."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="fluxgrain-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        base = _own[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

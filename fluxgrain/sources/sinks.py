@@ -54,3 +54,47 @@ def leaderboard(ledger: DataFrame, most: int) -> DataFrame:
 
     rank = F.row_number().over(Window.orderBy("residual_mean", "sig"))
     return ledger.orderBy("residual_mean", "sig").limit(most).withColumn("rank", rank)
+
+
+def coactivation_rows(ranked: DataFrame, windows: DataFrame, filtered: DataFrame) -> DataFrame:
+    """The co-activation summary: a row for each active region of an event. ranked: event, roi, first_t, rank, lag; windows: event,
+    start_s, end_s; filtered: roi, filtered (its position among the kept regions). order_rank is 1 for the first, 1 / k for the last."""
+    from pyspark.sql import Window
+
+    k = F.count("*").over(Window.partitionBy("event"))
+    rows = ranked.withColumn("order_rank", (k - F.col("rank") + 1) / k).join(windows, "event").join(filtered, "roi")
+    return rows.select(F.col("filtered").alias("roi_index_filtered"), F.col("roi").alias("roi_index_original"), F.col("event").alias("event_index"), F.col("start_s").alias("event_start_s"), F.col("end_s").alias("event_end_s"), F.col("first_t").alias("first_onset_s"), F.col("lag").alias("relative_lag_s"), "order_rank")
+
+
+def propagation_rows(found: DataFrame, windows: DataFrame, zoom: float, fov_x: float, fov_y: float) -> DataFrame:
+    """The propagation summary: a row for each event, from spatial.propagation and the events' windows."""
+    f = found.join(windows, "event")
+    named = {"event_index": "event", "event_start_s": "start_s", "event_end_s": "end_s", "start_x_um": "x0", "start_y_um": "y0", "end_x_um": "x1", "end_y_um": "y1", "dt_s": "dt", "distance_um": "distance", "speed_um_per_s": "speed", "angle_deg": "angle", "n_first_frame_rois": "n_first", "n_last_frame_rois": "n_last"}
+    whole = {"zoom": F.lit(zoom), "fov_um_x": F.lit(fov_x), "fov_um_y": F.lit(fov_y), "dx_um": F.col("x1") - F.col("x0"), "dy_um": F.col("y1") - F.col("y0")}
+    return f.select(*(F.col(c).alias(n) for n, c in named.items()), *(x.alias(n) for n, x in whole.items()))
+
+
+def rois_sheet(pixels: DataFrame, labels: DataFrame) -> DataFrame:
+    """roi, x_med, y_med, area_px and what labels (roi, p_cell, predicted_cell, iscell) says of it, null where it says nothing."""
+    g = pixels.groupBy("roi").agg(F.median("x").alias("x_med"), F.median("y").alias("y_med"), F.count("*").alias("area_px"))
+    return g.join(labels, "roi", "left").select("roi", "x_med", "y_med", "area_px", "p_cell", "predicted_cell", "iscell")
+
+
+def params_sheet(spark, params: dict) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(params.items())], "key string, value string")
+
+
+def clusters_sheet(clusters: DataFrame, method: str, metric: str, threshold: float) -> DataFrame:
+    return clusters.select("roi", "cluster", F.lit(threshold).alias("threshold"), F.lit(method).alias("method"), F.lit(metric).alias("metric"))
+
+
+def cluster_name(column: str):
+    """A name that can be a folder: runs of other signs than letters and digits become one underscore."""
+    return F.regexp_replace(column, "[^A-Za-z0-9]+", "_")
+
+
+def write_identities(clusters: DataFrame, path: str) -> None:
+    """The clusters' folders and, beside them, the table of all (cluster, roi)."""
+    named = clusters.select(cluster_name("cluster").alias("cluster"), "roi")
+    write_clusters(named, f"{path}/clusters")
+    write_summary(named, f"{path}/cluster_identities")

@@ -142,8 +142,20 @@ def test_paint_of_a_constant_is_constant(spark):
 
 def test_merge_by_iou_depends_on_order(spark):
     o = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.5)], "roi_a long, roi_b long, iou double")
-    assert SP.merge_by_iou(o, [0, 1, 2]) == [0, 2]
-    assert SP.merge_by_iou(o, [1, 0, 2]) == [1]
+    run = lambda ids: sorted(r["roi"] for r in SP.merge_by_iou(o, spark.createDataFrame(list(zip(ids, range(len(ids)), strict=True)), "roi long, rank long")).collect())
+    assert run([0, 1, 2]) == [0, 2]
+    assert run([1, 0, 2]) == [1]
+    r = np.random.default_rng(9)
+    pairs = [(int(a), int(b), 0.4) for a, b in r.integers(0, 60, (150, 2)) if a != b]
+    against, kept = {}, []
+    for a, b, _ in pairs:
+        against.setdefault(a, set()).add(b)
+        against.setdefault(b, set()).add(a)
+    for i in range(60):
+        if not against.get(i, set()) & set(kept):
+            kept.append(i)
+    o = spark.createDataFrame(pairs, "roi_a long, roi_b long, iou double")
+    assert run(list(range(60))) == kept
 
 
 def test_shift_movie_fails_beyond_16_bits(spark):
