@@ -44,22 +44,23 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def planned(rows: DataFrame) -> DataFrame:
-    """rows (saved; _fg_key, _fg_id, _fg_tie, _fg_source, _fg_range, _fg_size and any others) with _fg_source_size, _fg_target,
+    """rows (a table, read twice; _fg_key, _fg_id, _fg_tie, _fg_source, _fg_range, _fg_size and any others) with _fg_source_size, _fg_target,
     _fg_epochs (whole ones) and _fg_part (words of the last epoch, which is cut)."""
     ranges = rows.groupBy(F.col("_fg_source").alias("source"), F.col("_fg_range").alias("range")).agg(F.sum("_fg_size").alias("range_size"))
     sources = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).withColumnRenamed("source", "s")
     plan = ranges.join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    plan = plan.select(*(F.col(c).alias(f"_fg_p_{c}") for c in plan.columns))
+    plan = saved(plan.select(*(F.col(c).alias(f"_fg_p_{c}") for c in plan.columns)), "mixing-plan")  # its size is known to the planner then
     inside = Window.partitionBy("_fg_source", "_fg_range").orderBy("_fg_key", "_fg_id", "_fg_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_fg_inside", F.coalesce(F.sum("_fg_size").over(inside), F.lit(0)))
+    given = rows.columns
     rows = rows.join(plan, F.col("_fg_source").eqNullSafe(F.col("_fg_p_s")) & (F.col("_fg_range") == F.col("_fg_p_range")))
+    rows = rows.withColumn("_fg_inside", F.coalesce(F.sum("_fg_size").over(inside), F.lit(0)))
     total, target = F.col("_fg_p_source_size"), F.col("_fg_p_target")
     epochs = F.when(total > 0, F.floor(target / total)).otherwise(0)
     budget = F.floor(target) - epochs * total
     part = F.greatest(F.lit(0), F.least(F.col("_fg_size"), budget - F.col("_fg_p_before") - F.col("_fg_inside")))
-    return rows.select(*rows.columns[: rows.columns.index("_fg_inside")], total.alias("_fg_source_size"), target.alias("_fg_target"), epochs.alias("_fg_epochs"), part.alias("_fg_part"))
+    return rows.select(*(F.col(f"`{c}`") for c in given), total.alias("_fg_source_size"), target.alias("_fg_target"), epochs.alias("_fg_epochs"), part.alias("_fg_part"))
 
 
 def keyed(docs: DataFrame, seed: int) -> list[Column]:
@@ -82,7 +83,7 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix: the columns of docs, a row for each epoch that takes words of a document, and mix_epoch (from 0), mix_words (words
     of the row), mix_target (its source's; columns so named are replaced). In the epoch that is cut, the document at the cut has
     its leading words only."""
-    rows = planned(saved(docs.select("*", *keyed(docs, seed)), "mixing"))
+    rows = planned(docs.select("*", *keyed(docs, seed)))
     whole = F.transform(F.sequence(F.lit(1), F.col("_fg_epochs").cast("int")), lambda i: F.struct((i - 1).cast("int").alias("epoch"), F.col("_fg_size").alias("words")))
     none = F.expr("cast(array() as array<struct<epoch: int, words: bigint>>)")
     last = F.array(F.struct(F.col("_fg_epochs").cast("int").alias("epoch"), F.col("_fg_part").cast("long").alias("words")))

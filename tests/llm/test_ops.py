@@ -48,6 +48,18 @@ def test_word_hashes_agree_with_words():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_scratch_goes_and_what_is_saved_outside_stays(spark):
+    kept = common.saved(spark.range(3), "kept")
+    with common.scratch(spark):
+        inside = common.saved(spark.range(4), "inside")
+        path = inside.inputFiles()[0]
+        assert inside.count() == 4
+    assert kept.count() == 3
+    import os
+
+    assert not os.path.exists(path.removeprefix("file:").replace("///", "/"))
+
+
 # --- 1 exact dedup
 
 
