@@ -18,13 +18,14 @@ toxic; other columns pass all stages, whatever their names (but columns named as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxgrain.llm import decontam, exact_dedup, mixing, ngram_join, toxicity
-from fluxgrain.llm.common import WS_CHARS, saved, table
+from fluxgrain.llm.common import WS_CHARS, saved, scratch, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -81,8 +82,12 @@ STAGES: list[tuple[str, Stage]] = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage saves on its way goes once its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
     return docs
 
 
