@@ -41,7 +41,7 @@ L = 2
 #: Tokens of a block of queries or members.
 BLOCK = 200_000
 #: Sets of a block of queries or members, so that a pair of blocks has at most SIDE^2 cells or so.
-SIDE = 1024
+SIDE = 512
 #: Sketch counters: one for about each PER tokens, between these bounds.
 PER, LEAST, MOST = 256, 1 << 12, 1 << 20
 
