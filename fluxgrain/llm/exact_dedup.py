@@ -123,11 +123,11 @@ def power(n: Column, base: int, prime: int) -> Column:
 
 def differing(docs: DataFrame, members: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """Keys of the classes whose normalised texts are not all equal, found by streaming comparison of chunks. Texts find their class
-    by SHA-256, so that ids which repeat or are null multiply nothing."""
+    by SHA-256, so that ids which repeat or are null multiply nothing; by a merge join at every size, as members grow with docs."""
     key = ["n_norm", "fp1", "fp2"]
     text = F.translate(F.coalesce("text", F.lit("")), WS_CHARS, "")
     of = saved(members.select(F.col("text_sha256").alias("m"), *key).distinct(), "members")
-    rows = docs.select(text.alias("t")).withColumn("sha", F.sha2(F.col("t").cast("binary"), 256)).join(of, F.col("sha") == F.col("m"))
+    rows = docs.select(text.alias("t")).withColumn("sha", F.sha2(F.col("t").cast("binary"), 256)).join(of.hint("merge"), F.col("sha") == F.col("m"))
     cut = F.expr(f"transform(sequence(0, cast(length(t) div {chunk} as int)), i -> struct(i AS nth, substring(t, i * {chunk} + 1, {chunk}) AS part))")
     parts = rows.select(*key, F.explode(cut).alias("x")).select(*key, "x.nth", "x.part").distinct()
     return parts.groupBy(*key, "nth").count().where("count > 1").select(*key).distinct()
