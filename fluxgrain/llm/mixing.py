@@ -51,10 +51,13 @@ def planned(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0))).withColumnRenamed("source", "s")
     plan = ranges.join(sources, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    plan = saved(plan.select(*(F.col(c).alias(f"_fg_p_{c}") for c in plan.columns)), "mixing-plan")  # its size is known to the planner then
-    inside = Window.partitionBy("_fg_source", "_fg_range").orderBy("_fg_key", "_fg_id", "_fg_tie").rowsBetween(Window.unboundedPreceding, -1)
+    plan = saved(plan.select(*(F.col(c).alias(f"_fg_p_{c}") for c in plan.columns)), "mixing-plan")
     given = rows.columns
-    rows = rows.join(plan, F.col("_fg_source").eqNullSafe(F.col("_fg_p_s")) & (F.col("_fg_range") == F.col("_fg_p_range")))
+    # the join and the window are dealt by the same columns, none of them null, so that rows move once, at every size
+    key = ["_fg_none", "_fg_name", "_fg_range"]
+    named = lambda df, c: df.withColumn("_fg_none", F.col(c).isNull()).withColumn("_fg_name", F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = named(rows, "_fg_source").join(named(plan, "_fg_p_s").withColumnRenamed("_fg_p_range", "_fg_range").hint("merge"), key)
+    inside = Window.partitionBy(*key).orderBy("_fg_key", "_fg_id", "_fg_tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_fg_inside", F.coalesce(F.sum("_fg_size").over(inside), F.lit(0)))
     total, target = F.col("_fg_p_source_size"), F.col("_fg_p_target")
     epochs = F.when(total > 0, F.floor(target / total)).otherwise(0)
