@@ -27,15 +27,20 @@ def keep_mask(predicted: Column, legacy: Column, iscell: Column) -> Column:
     return F.coalesce(predicted, legacy, iscell > 0, F.lit(True))
 
 
+def top_share(scores: DataFrame, percent: float, name: str = "keep") -> DataFrame:
+    """scores with name: whether fewer than ceil(percent of all rows), at least one, score higher; ties are kept, rows without a score not."""
+    by = scores.where("score is not null").groupBy((-F.col("score")).alias("neg")).agg(F.count("*").alias("n"))
+    upto = running_totals(by, "neg", ["n"]).withColumn("above", F.col("upto_n") - F.col("n"))  # how many score higher
+    k = scores.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * percent / 100)).alias("k"))
+    edge = upto.crossJoin(k).where("above < k").agg(F.max("neg").alias("worst"))
+    return scores.crossJoin(edge).withColumn(name, F.coalesce(-F.col("score") <= F.col("worst"), F.lit(False))).drop("worst")
+
+
 def soft_mask(scores: DataFrame, level: float, top_percent: float | None = None, most: int = 1000, strict: float = 0.68) -> DataFrame:
     """keep: score >= level (or the top percent, ties kept). If that keeps under 2% and at least 10 scores are positive, mean + sd of
     the positive ones where it keeps more; if over `most` remain, the strict level. One aggregate row is broadcast back."""
     if top_percent is not None:
-        by = scores.where("score is not null").groupBy((-F.col("score")).alias("neg")).agg(F.count("*").alias("n"))
-        upto = running_totals(by, "neg", ["n"]).withColumn("above", F.col("upto_n") - F.col("n"))  # how many score higher
-        k = scores.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * top_percent / 100)).alias("k"))
-        edge = upto.crossJoin(k).where("above < k").agg(F.max("neg").alias("worst"))
-        s = scores.crossJoin(edge).withColumn("first", F.coalesce(-F.col("score") <= F.col("worst"), F.lit(False))).drop("worst")
+        s = top_share(scores, top_percent, "first")
     else:
         s = scores.withColumn("first", F.col("score") >= level)
     positive = F.when(F.col("score") > 0, F.col("score"))

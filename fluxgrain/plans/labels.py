@@ -38,7 +38,7 @@ def q_soft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FEATURES}, r AS (SELECT roi, rank() OVER (ORDER BY score DESC) AS r, count(*) OVER () AS n FROM score) SELECT roi, r <= ceil(n * 10 / 100) AS keep FROM r")
 def q_top_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.soft_mask(scored(spark, sf_dir).select("roi", "score"), 0.0, top_percent=10.0).select("roi", "keep")
+    return S.top_share(scored(spark, sf_dir).select("roi", "score"), 10.0).select("roi", "keep")
 
 
 @query(f"WITH {FEATURES}, c AS (SELECT count(*) FILTER (score >= 0.68 AND y = 1) AS tp, count(*) FILTER (score >= 0.68 AND y = 0) AS fp, count(*) FILTER (score < 0.68 AND y = 1) AS fn, count(*) FILTER (score < 0.68 AND y = 0) AS tn FROM score) SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fn) + tn / (tn + fp) - 1, 6) AS youden FROM c")
