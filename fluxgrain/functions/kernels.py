@@ -311,21 +311,107 @@ def linkage(distance: np.ndarray, method: str = "average") -> np.ndarray:
     return np.array(merges, float).reshape(-1, 4)
 
 
-def members(merges: np.ndarray, n: int, cut: float) -> list[list[int]]:
-    """Flat clusters: leaves joined by merges of distance up to cut, in leaf order."""
-    parent = list(range(n + len(merges)))
+def vector_linkage(x: np.ndarray, method: str = "average", block: int = 64) -> np.ndarray:
+    """The same merges from vectors, without their distances: average linkage of 1 - x_i . x_j, or ward linkage of |x_i - x_j|.
+
+    Both are functions of the clusters' means and sizes, and neither lets a merge bring clusters nearer to a third. So all pairs
+    that are each other's nearest can be merged at once, which is done in rounds by matrix products; once rounds merge little for
+    what they compute, chains of nearest neighbours do the rest in at most three searches a cluster. Memory grows with n."""
+    n, ward = len(x), method == "ward"
+    means, sizes, ids = np.array(x, float), np.ones(n), np.arange(n)
+    heights, merges = np.zeros(2 * n), []
+
+    def between(i: np.ndarray | int, near: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """Of clusters i to all: the distance, for ward squared."""
+        dot = near[i] @ near.T
+        if not ward:
+            return np.subtract(1.0, dot, out=dot)
+        dot *= -2
+        dot += norms
+        dot += norms[i][..., None]
+        w = sizes[i][..., None]
+        dot *= 2 * w * sizes / (w + sizes)
+        return dot
+
+    def merged(i: int, j: int) -> tuple[np.ndarray, float, int]:
+        a, b = sizes[i], sizes[j]
+        gap = float(np.sqrt(2 * a * b / (a + b)) * np.linalg.norm(means[i] - means[j])) if ward else float(1 - means[i] @ means[j])
+        new = n + len(merges)
+        heights[new] = max(gap, heights[ids[i]], heights[ids[j]]) if max(ids[i], ids[j]) >= n else gap  # but for rounding it is the gap
+        merges.append((ids[i], ids[j], heights[new], int(a + b)))
+        return (a * means[i] + b * means[j]) / (a + b), a + b, new
+
+    nearest, stale = np.zeros(n, int), np.ones(n, bool)
+    while len(ids) > 1:
+        norms, todo = (means * means).sum(1), np.flatnonzero(stale)
+        for k in range(0, len(todo), block):
+            at = todo[k : k + block]
+            d = between(at, means, norms)
+            d[np.arange(len(at)), at] = np.inf
+            nearest[at] = d.argmin(1)
+        first = np.flatnonzero((nearest[nearest] == np.arange(len(ids))) & (np.arange(len(ids)) < nearest))
+        second = nearest[first]
+        made = [merged(i, j) for i, j in zip(first, second, strict=True)]
+        for i, (mean, size, new) in zip(first, made, strict=True):
+            means[i], sizes[i], ids[i] = mean, size, new
+        stale = np.zeros(len(ids), bool)
+        stale[first] = stale[second] = True  # and whose nearest is one of them
+        stale = stale | stale[nearest]
+        stay = np.ones(len(ids), bool)
+        stay[second] = False
+        place = np.cumsum(stay) - 1
+        nearest, stale = place[nearest[stay]], stale[stay]
+        means, sizes, ids = means[stay], sizes[stay], ids[stay]
+        if 24 * len(first) < stale.sum():
+            break
+    alive, left, chain = np.ones(len(ids), bool), len(ids), []
+    norms = (means * means).sum(1)
+    while left > 1:
+        if 2 * left < len(ids) and not chain:
+            means, sizes, ids, norms, alive = means[alive], sizes[alive], ids[alive], norms[alive], np.ones(left, bool)
+        if not chain:
+            chain = [int(alive.argmax())]
+        i = chain[-1]
+        d = between(i, means, norms)
+        d[~alive] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1:
+            before = chain[-2]
+            slack = 1e-12 * (1 if not ward else float(2 * sizes[i] * sizes[j] / (sizes[i] + sizes[j]) * (norms[i] + norms[j])))
+            if d[before] <= d[j] + slack or j in chain:  # equal but for rounding
+                means[i], sizes[i], ids[i] = merged(i, before)
+                norms[i] = means[i] @ means[i]
+                alive[before], left, chain = False, left - 1, chain[:-2]
+                continue
+        chain.append(j)
+    if not merges:
+        return np.zeros((0, 4))
+    out = np.array(merges, float)
+    order = np.argsort(out[:, 2], kind="stable")  # a merge is never lower than its parts, and was made after them
+    name = np.concatenate([np.arange(n), np.empty(len(out))])
+    name[n + order] = n + np.arange(len(out))
+    out = out[order]
+    out[:, :2] = np.sort(name[out[:, :2].astype(int)], axis=1)
+    return out
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    for k, (a, b, dist, _) in enumerate(merges):
-        if dist <= cut:
-            parent[find(int(a))] = parent[find(int(b))] = n + k
+def tops(merges: np.ndarray, n: int, joined: np.ndarray) -> np.ndarray:
+    """Of each leaf: the highest merge reached by climbing while merges are joined, or the leaf itself."""
+    up = np.arange(n + len(merges))
+    for child in (0, 1):
+        up[merges[joined, child].astype(int)] = n + np.flatnonzero(joined)
+    while not np.array_equal(further := up[up], up):
+        up = further
+    return up[:n]
+
+
+def members(merges: np.ndarray, n: int, cut: float) -> list[list[int]]:
+    """Flat clusters: leaves joined by merges of distance up to cut, in leaf order."""
+    top = tops(merges, n, merges[:, 2] <= cut)
     groups: dict[int, list[int]] = {}
     for leaf in leaf_order(merges, n):
-        groups.setdefault(find(leaf), []).append(leaf)
+        groups.setdefault(int(top[leaf]), []).append(int(leaf))
     return list(groups.values())
 
 
@@ -346,28 +432,21 @@ def leaf_order(merges: np.ndarray, n: int) -> list[int]:
 
 def colour_groups(merges: np.ndarray, n: int, cut: float, palette: int = 9) -> list[int]:
     """Of each leaf in leaf order: 0 if it hangs above the cut, else 1 + the running number of its subtree, modulo the palette."""
-    below = np.zeros(n + len(merges), bool)
-    top = np.full(n + len(merges), -1)
-    for k, (a, b, dist, _) in enumerate(merges):
-        below[n + k] = dist < cut
-        for child in (int(a), int(b)):
-            top[child] = n + k
-    out, numbers = [], {}
+    top, numbers, out = tops(merges, n, merges[:, 2] < cut), {}, []
     for leaf in leaf_order(merges, n):
-        root, i = None, top[leaf]
-        while i >= 0 and below[i]:
-            root, i = i, top[i]
-        out.append(0 if root is None else 1 + numbers.setdefault(root, len(numbers)) % palette)
+        root = int(top[leaf])
+        out.append(0 if root < n else 1 + numbers.setdefault(root, len(numbers)) % palette)
     return out
 
 
-def auto_cut(merges: np.ndarray, n: int, wanted: Sequence[int] = (4, 5), fallback: float = 0.9) -> float:
+def auto_cut(merges: np.ndarray, n: int, wanted: Sequence[int] = (4, 5), fallback: float = 0.9, palette: int = 9) -> float:
     """The first fraction .90, .89, ... .05 of the highest merge whose number of leaf colours is wanted."""
     if not len(merges):
         return 0.0
     highest = float(merges[:, 2].max())
     for percent in range(90, 4, -1):
-        if len(set(colour_groups(merges, n, percent / 100 * highest))) in wanted:
+        top = np.unique(tops(merges, n, merges[:, 2] < percent / 100 * highest))
+        if min(palette, int((top >= n).sum())) + bool((top < n).any()) in wanted:
             return percent / 100 * highest
     return fallback * highest
 

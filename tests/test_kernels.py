@@ -110,3 +110,21 @@ def test_lagged_correlation_finds_a_delay():
     assert lag[0, 0] == 3 and best[0, 0] > 0.9 > zero[0, 0]
     back, _, _ = K.lagged_correlation(z(b), z(a), 5)
     assert back[0, 0] == -3
+
+
+@pytest.mark.parametrize("method", ["average", "ward"])
+@pytest.mark.parametrize("n", [1, 2, 3, 90, 260])
+def test_linkage_of_vectors_is_that_of_their_distances(method, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 12)) + 3 * rng.normal(size=(4, 12))[rng.integers(0, 4, n)]
+    if method == "average":
+        x = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True) / np.sqrt(12)
+    d = 1 - x @ x.T if method == "average" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    got, want = K.vector_linkage(x, method, 7), K.linkage(d, method)
+    assert got[:, [0, 1, 3]].tolist() == want[:, [0, 1, 3]].tolist() and got[:, 2] == pytest.approx(want[:, 2])
+
+
+def test_chains_finish_what_rounds_leave():
+    x = np.repeat(np.eye(8)[:3] * [[1.0], [2.0], [5.0]], 60, axis=0)  # equal points: few are each other's nearest
+    got = K.vector_linkage(x, "ward")
+    assert len(got) == 179 and got[-1, 3] == 180 and (got[:177, 2] == 0).all() and (got[177:, 2] > 1).all()

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from fluxgrain.plans.all_queries import FLAGSHIP  # noqa: F401  (registers all queries)
 from fluxgrain.plans.registry import QUERIES
 
@@ -12,3 +14,20 @@ def test_top_percent_has_no_bound_on_how_many_it_keeps(spark, tmp_path):
     score = lambda v: round(1 / (1 + math.exp(-(2.3662 + 1.0454 * (v % 11 - 4.079) / 1.146 + 1.1252 * (v % 23 - 11.24) / 4.214 + 0.2987 * (20 + v % 61 - 41.178) / 37.065))), 9)
     least = sorted(map(score, range(10300)), reverse=True)[1029]
     assert len(got) >= 1030 and got == {v for v in range(10300) if score(v) >= least}
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Embeddings of more regions than a matrix of distances was allowed for, half of them copies of 40 vectors."""
+    path = str(tmp_path_factory.mktemp("many"))
+    xs = "transform(sequence(0, 15), t -> CAST(sin((IF(id % 2 = 0, id % 80, id) + 1) * (t + 1) * 0.37) AS FLOAT)) AS embedding"
+    spark.range(6200).selectExpr("id AS vec_id", xs, "CAST(id % 2 AS INT) + 1 AS label").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+def test_linkage_of_many_regions(spark, many):
+    rows = QUERIES["q_linkage"](spark, many).orderBy("step").collect()
+    assert len(rows) == 6199 and rows[-1]["n"] == 6200
+    assert sorted([r["a"] for r in rows] + [r["b"] for r in rows]) == list(range(2 * 6200 - 2))
+    dist = [r["dist"] for r in rows]
+    assert dist == sorted(dist) and sum(d < 1e-6 for d in dist) >= 3100 - 40
