@@ -31,3 +31,10 @@ def test_linkage_of_many_regions(spark, many):
     assert sorted([r["a"] for r in rows] + [r["b"] for r in rows]) == list(range(2 * 6200 - 2))
     dist = [r["dist"] for r in rows]
     assert dist == sorted(dist) and sum(d < 1e-6 for d in dist) >= 3100 - 40
+
+
+def test_flat_clusters_of_many_regions(spark, many):
+    got = {r["roi"]: r["cluster"] for r in QUERIES["q_fcluster"](spark, many).collect()}
+    assert sorted(got) == list(range(6200))
+    for first in range(0, 80, 2):  # copies stay together
+        assert len({got[i] for i in range(first, 6200, 80)}) == 1
