@@ -38,3 +38,9 @@ def test_flat_clusters_of_many_regions(spark, many):
     assert sorted(got) == list(range(6200))
     for first in range(0, 80, 2):  # copies stay together
         assert len({got[i] for i in range(first, 6200, 80)}) == 1
+
+
+def test_leaf_colours_of_many_regions(spark, many):
+    rows = QUERIES["q_leaf_colours"](spark, many).collect()
+    assert sorted(r["position"] for r in rows) == sorted(r["roi"] for r in rows) == list(range(6200))
+    assert {r["colour"] for r in rows} <= {f"C{i}" for i in range(10)} and len({r["colour"] for r in rows}) > 1
