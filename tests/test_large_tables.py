@@ -44,3 +44,8 @@ def test_leaf_colours_of_many_regions(spark, many):
     rows = QUERIES["q_leaf_colours"](spark, many).collect()
     assert sorted(r["position"] for r in rows) == sorted(r["roi"] for r in rows) == list(range(6200))
     assert {r["colour"] for r in rows} <= {f"C{i}" for i in range(10)} and len({r["colour"] for r in rows}) > 1
+
+
+def test_two_clusters_of_many_regions_are_clustered_anew(spark, many):
+    rows = QUERIES["q_recluster"](spark, many).collect()
+    assert sorted(r["roi"] for r in rows) == list(range(6200)) and len({r["cluster"] for r in rows}) > 1
