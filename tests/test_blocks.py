@@ -46,3 +46,13 @@ def test_distances_of_all_pairs(spark, arrays, z):
     xs = arrays.select("roi", F.col("zs").alias("xs"))
     got = {(r["roi_a"], r["roi_b"]): r["dist"] for r in C.distances(xs, digits=6).collect()}
     assert len(got) == N * (N - 1) // 2 and all(got[a, b] == pytest.approx(1 - z[a] @ z[b] / FRAMES, abs=6e-7) for a, b in [(0, 1), (3, 11), (5, 699), (350, 351)])
+
+
+def test_means_by_cluster_pair(arrays, z):
+    """As q_keyed_xcorr has them, by group."""
+    t = arrays.withColumnRenamed("grp", "recording")
+    got = {(r["recording"], r["cluster_a"], r["cluster_b"]): r for r in P.xcorr_means(t.select("recording", "roi", "zs"), t.select("recording", "roi", "cluster"), 2).collect()}
+    assert len(got) == 12
+    a, b = [[i for i in range(N) if i % 2 == 1 and i % 3 == c] for c in (0, 2)]
+    want = [best(z, x, y, 2) for x in a for y in b]
+    assert got[1, "C0", "C2"]["n"] == len(want) and got[1, "C0", "C2"]["mean_max"] == pytest.approx(np.mean([w[1] for w in want]))
