@@ -56,3 +56,9 @@ def test_means_by_cluster_pair(arrays, z):
     a, b = [[i for i in range(N) if i % 2 == 1 and i % 3 == c] for c in (0, 2)]
     want = [best(z, x, y, 2) for x in a for y in b]
     assert got[1, "C0", "C2"]["n"] == len(want) and got[1, "C0", "C2"]["mean_max"] == pytest.approx(np.mean([w[1] for w in want]))
+
+
+def test_correlations_inside_groups(arrays, z):
+    """As q_bin_correlation has them, a group a bin."""
+    got = {(r["roi_a"], r["roi_b"]): (r["grp"], r["r"]) for r in P.correlations(arrays).collect()}
+    assert sorted(got) == same_group() and all(got[a, b] == (a % 2, pytest.approx(z[a] @ z[b] / FRAMES, abs=6e-7)) for a, b in same_group()[::997])
