@@ -62,3 +62,14 @@ def test_correlations_inside_groups(arrays, z):
     """As q_bin_correlation has them, a group a bin."""
     got = {(r["roi_a"], r["roi_b"]): (r["grp"], r["r"]) for r in P.correlations(arrays).collect()}
     assert sorted(got) == same_group() and all(got[a, b] == (a % 2, pytest.approx(z[a] @ z[b] / FRAMES, abs=6e-7)) for a, b in same_group()[::997])
+
+
+def test_lags_counted_by_cluster_pair(arrays, z):
+    """As q_cluster_pair_stats counts them; sign flips from sums agree with sign flips from rows."""
+    t = arrays.where("roi < 150")
+    x = P.xcorr_blocks(t.select("roi", "zs"), t.select("roi", "cluster"), 2, with_self=False).withColumn("row", F.col("roi_a") * 1_000_003 + F.col("roi_b"))
+    counted, summed = P.xcorr_lags(t.select("roi", "zs"), t.select("roi", "cluster"), 2, with_self=False)
+    key = ["cluster_a", "cluster_b"]
+    assert sorted(map(tuple, x.groupBy(*key, "best_lag").agg(F.count("*")).collect())) == sorted(map(tuple, counted.collect()))
+    assert sorted(map(tuple, P.signflip(x, key, "best_lag", "row", 50).collect())) == sorted(map(tuple, P.signflip(summed, key, "best_lag", "row", 50, count="n").collect()))
+    assert sorted(map(tuple, P.pair_stats(x, key, "best_lag").collect())) == sorted(map(tuple, P.pair_stats(counted, key, "best_lag", count="n").collect()))
