@@ -73,3 +73,11 @@ def test_lags_counted_by_cluster_pair(arrays, z):
     assert sorted(map(tuple, x.groupBy(*key, "best_lag").agg(F.count("*")).collect())) == sorted(map(tuple, counted.collect()))
     assert sorted(map(tuple, P.signflip(x, key, "best_lag", "row", 50).collect())) == sorted(map(tuple, P.signflip(summed, key, "best_lag", "row", 50, count="n").collect()))
     assert sorted(map(tuple, P.pair_stats(x, key, "best_lag").collect())) == sorted(map(tuple, P.pair_stats(counted, key, "best_lag", count="n").collect()))
+
+
+def test_peaks_that_are_equal_but_for_rounding(arrays, z):
+    """As q_onset_lags and q_xcorr_event take them: of lags equal to nine places the least one."""
+    lag, top, zero = B.peaks(np.array([[1.0, 0, 0, 1 - 1e-12]]), np.array([[1.0, 0, 0, 1.0]]), 3, 1.0, 9)
+    assert (lag.item(), top.item()) == (0, pytest.approx(2))
+    lag, top, zero = B.peaks(np.array([[0.0, 1 - 1e-12, 0, 1.0]]), np.array([[0.0, 0, 1.0, 0]]), 2, 1.0, 9)
+    assert (lag.item(), top.item()) == (-1, 1.0) and B.peaks(np.array([[0.0, 1 - 1e-12, 0, 1.0]]), np.array([[0.0, 0, 1.0, 0]]), 2, 1.0)[0].item() == 1
