@@ -81,3 +81,11 @@ def test_peaks_that_are_equal_but_for_rounding(arrays, z):
     assert (lag.item(), top.item()) == (0, pytest.approx(2))
     lag, top, zero = B.peaks(np.array([[0.0, 1 - 1e-12, 0, 1.0]]), np.array([[0.0, 0, 1.0, 0]]), 2, 1.0, 9)
     assert (lag.item(), top.item()) == (-1, 1.0) and B.peaks(np.array([[0.0, 1 - 1e-12, 0, 1.0]]), np.array([[0.0, 0, 1.0, 0]]), 2, 1.0)[0].item() == 1
+
+
+def test_surrogates_of_all_pairs_inside_groups(arrays, z):
+    """As q_shift_surrogate has them: the same as pair by pair."""
+    t = arrays.where("roi < 90")
+    a, b = (t.select("grp", F.col("roi").alias(f"roi_{s}"), F.col("zs").alias(f"z{s}")) for s in "ab")
+    want = P.shift_surrogates(a.join(b, "grp").where("roi_a < roi_b"), 20).select("grp", "roi_a", "roi_b", F.round("r", 6) + 0.0, "exceed", F.round("p", 6))
+    assert sorted(map(tuple, P.surrogates_within(t, ["grp"], 20).select("grp", "roi_a", "roi_b", "r", "exceed", "p").collect())) == sorted(map(tuple, want.collect()))
