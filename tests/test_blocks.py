@@ -89,3 +89,11 @@ def test_surrogates_of_all_pairs_inside_groups(arrays, z):
     a, b = (t.select("grp", F.col("roi").alias(f"roi_{s}"), F.col("zs").alias(f"z{s}")) for s in "ab")
     want = P.shift_surrogates(a.join(b, "grp").where("roi_a < roi_b"), 20).select("grp", "roi_a", "roi_b", F.round("r", 6) + 0.0, "exceed", F.round("p", 6))
     assert sorted(map(tuple, P.surrogates_within(t, ["grp"], 20).select("grp", "roi_a", "roi_b", "r", "exceed", "p").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_summed_surrogates(arrays, z):
+    """As q_surrogate_summary has them, with the exact median."""
+    got = {r["grp"]: r for r in P.surrogate_sums(arrays, "grp", 20).collect()}
+    for g in (0, 1):
+        r = np.array([z[a] @ z[b] / FRAMES for a, b in same_group() if a % 2 == g])
+        assert got[g]["n_pairs"] == len(r) and got[g]["mean_r"] == pytest.approx(r.mean()) and got[g]["median_r"] == pytest.approx(np.median(r), abs=1e-12)
