@@ -97,3 +97,10 @@ def test_summed_surrogates(arrays, z):
     for g in (0, 1):
         r = np.array([z[a] @ z[b] / FRAMES for a, b in same_group() if a % 2 == g])
         assert got[g]["n_pairs"] == len(r) and got[g]["mean_r"] == pytest.approx(r.mean()) and got[g]["median_r"] == pytest.approx(np.median(r), abs=1e-12)
+
+
+def test_points_of_curves(arrays, z):
+    """As q_xcorr_curve has them: a row a lag."""
+    t = arrays.where("roi < 200")
+    got = {(r["roi_a"], r["roi_b"], r["k"]): r["r"] for r in P.curve_points(t, 3).collect()}
+    assert len(got) == 7 * len(same_group(200)) and all(got[a, b, 2] == pytest.approx(z[a][2:] @ z[b][:-2] / FRAMES, abs=6e-7) for a, b in same_group(200)[::97])
