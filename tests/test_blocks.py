@@ -104,3 +104,10 @@ def test_points_of_curves(arrays, z):
     t = arrays.where("roi < 200")
     got = {(r["roi_a"], r["roi_b"], r["k"]): r["r"] for r in P.curve_points(t, 3).collect()}
     assert len(got) == 7 * len(same_group(200)) and all(got[a, b, 2] == pytest.approx(z[a][2:] @ z[b][:-2] / FRAMES, abs=6e-7) for a, b in same_group(200)[::97])
+
+
+def test_correlations_across_kinds(arrays, z):
+    """As q_xcorr_from_sync has them: the first region is of the lesser kind, whatever the numbers."""
+    got = {(r["roi_a"], r["roi_b"]): r["r"] for r in P.correlations_across(arrays.withColumn("rec", -F.col("roi") % 3), "rec", ["grp"]).collect()}
+    assert sorted(got) == sorted((a, b) for a in range(N) for b in range(N) if a % 2 == b % 2 and a % 3 > b % 3)
+    assert all(r == pytest.approx(z[a] @ z[b] / FRAMES, abs=6e-7) for (a, b), r in list(got.items())[::997])
