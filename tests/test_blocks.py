@@ -111,3 +111,9 @@ def test_correlations_across_kinds(arrays, z):
     got = {(r["roi_a"], r["roi_b"]): r["r"] for r in P.correlations_across(arrays.withColumn("rec", -F.col("roi") % 3), "rec", ["grp"]).collect()}
     assert sorted(got) == sorted((a, b) for a in range(N) for b in range(N) if a % 2 == b % 2 and a % 3 > b % 3)
     assert all(r == pytest.approx(z[a] @ z[b] / FRAMES, abs=6e-7) for (a, b), r in list(got.items())[::997])
+
+
+def test_mean_lags_of_regions(arrays, z):
+    """As q_cell_means has them."""
+    got = {r["roi_a"]: r["mean_lag"] for r in P.mean_lags(arrays, 3).collect()}
+    assert sorted(got) == list(range(N - 2)) and all(got[a] == pytest.approx(np.mean([best(z, a, b, 3)[0] for b in range(a + 2, N, 2)])) for a in (0, 1, 350, 697))
