@@ -117,3 +117,13 @@ def test_mean_lags_of_regions(arrays, z):
     """As q_cell_means has them."""
     got = {r["roi_a"]: r["mean_lag"] for r in P.mean_lags(arrays, 3).collect()}
     assert sorted(got) == list(range(N - 2)) and all(got[a] == pytest.approx(np.mean([best(z, a, b, 3)[0] for b in range(a + 2, N, 2)])) for a in (0, 1, 350, 697))
+
+
+def test_closest_partners(arrays, z):
+    """As q_topk_pairs has them."""
+    got = {}
+    for r in P.closest(arrays, 3).orderBy("roi_a", "rn").collect():
+        got.setdefault(r["roi_a"], []).append(r["roi_b"])
+    assert got[3][0] == 11
+    for a in range(N - 2):
+        assert got[a] == sorted(range(a + 2, N, 2), key=lambda b: (-round(abs(z[a] @ z[b] / FRAMES), 12), b))[:3]
