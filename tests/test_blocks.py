@@ -127,3 +127,12 @@ def test_closest_partners(arrays, z):
     assert got[3][0] == 11
     for a in range(N - 2):
         assert got[a] == sorted(range(a + 2, N, 2), key=lambda b: (-round(abs(z[a] @ z[b] / FRAMES), 12), b))[:3]
+
+
+def test_raw_peaks_of_all_pairs(arrays, z):
+    """As q_raw_xcorr (sums) has them."""
+    got = {(r["roi_a"], r["roi_b"]): (r["best_lag"], r["max_corr"]) for r in P.curve_peaks(arrays, 3, scale=1).collect()}
+    assert sorted(got) == same_group()
+    for a, b in same_group()[::997]:
+        lag, top, _ = best(z, a, b, 3)
+        assert got[a, b] == (lag, pytest.approx(top * FRAMES, abs=6e-7))
