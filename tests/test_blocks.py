@@ -136,3 +136,12 @@ def test_raw_peaks_of_all_pairs(arrays, z):
     for a, b in same_group()[::997]:
         lag, top, _ = best(z, a, b, 3)
         assert got[a, b] == (lag, pytest.approx(top * FRAMES, abs=6e-7))
+
+
+def test_peaks_of_all_pairs(arrays, z):
+    """As q_xcorr_best has them."""
+    got = {(r["roi_a"], r["roi_b"]): (r["best_lag"], r["max_corr"], r["zero_lag"]) for r in P.curve_peaks(arrays, 3).collect()}
+    assert sorted(got) == same_group()
+    for a, b in same_group()[::997]:
+        lag, *rest = best(z, a, b, 3)
+        assert got[a, b] == (lag, *(pytest.approx(x, abs=6e-7) for x in rest))
