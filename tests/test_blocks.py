@@ -145,3 +145,9 @@ def test_peaks_of_all_pairs(arrays, z):
     for a, b in same_group()[::997]:
         lag, *rest = best(z, a, b, 3)
         assert got[a, b] == (lag, *(pytest.approx(x, abs=6e-7) for x in rest))
+
+
+def test_peaks_of_equal_lags_in_pairs(arrays, z):
+    """As q_xcorr_event has them, with lags equal to nine places."""
+    got = {(r["roi_a"], r["roi_b"]): r["best_lag"] for r in P.curve_peaks(arrays, 4, even=9).collect()}
+    assert sorted(got) == same_group() and all(got[a, b] == best(z, a, b, 4)[0] for a, b in same_group()[::997])
