@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fluxgrain.operators import blocks as B
 from fluxgrain.operators import clustering as C
 from fluxgrain.operators import pairs as P
+from fluxgrain.plans.recording import cluster_pair_stats
 
 FRAMES, N = 12, 700
 
@@ -75,6 +76,24 @@ def test_lags_counted_by_cluster_pair(arrays, z):
     assert sorted(map(tuple, P.pair_stats(x, key, "best_lag").collect())) == sorted(map(tuple, P.pair_stats(counted, key, "best_lag", count="n").collect()))
 
 
+def test_pair_stats_from_pairs_and_from_counts(arrays):
+    """q_cluster_pair_stats takes lags that are counted where they are computed, a row a pair is taken too."""
+    t = arrays.where("roi < 150")
+    x = P.xcorr_blocks(t.select("roi", "zs"), t.select("roi", "cluster"), 2, with_self=False)
+    want = sorted(map(tuple, cluster_pair_stats(x).collect()))
+    assert len(want) == 3 and sorted(map(tuple, cluster_pair_stats(*P.xcorr_lags(t.select("roi", "zs"), t.select("roi", "cluster"), 2, with_self=False)).collect())) == want
+
+
+def test_peaks_across_cells():
+    x = np.random.default_rng(2).normal(size=(1400, 9))
+    f, s = x[: 2 * B.CELL[0] + 3], x[-(2 * B.CELL[1] + 5) :]
+    curves = np.stack([B.lagged(f, s, k) for k in range(-9, 10)]) / 9  # lags of 9 have nothing to sum
+    lag, top, zero = B.peaks(f, s, 9)
+    assert (lag == curves.argmax(0) - 9).all() and np.allclose(top, curves.max(0), atol=1e-14) and np.allclose(zero, curves[9], atol=1e-14)
+    lag, top, zero = B.peaks(f, s, 70)  # more lags than fit a byte
+    assert (lag.min(), lag.max()) == (-70, 8) and np.allclose(top, curves.max(0), atol=1e-14)
+
+
 def test_peaks_that_are_equal_but_for_rounding(arrays, z):
     """As q_onset_lags and q_xcorr_event take them: of lags equal to nine places the least one."""
     lag, top, zero = B.peaks(np.array([[1.0, 0, 0, 1 - 1e-12]]), np.array([[1.0, 0, 0, 1.0]]), 3, 1.0, 9)
