@@ -47,6 +47,14 @@ def pair_tables(spark: SparkSession, path: str) -> DataFrame:
     return t.select("pair", F.col("roiA").alias("roi_a"), F.col("roiB").alias("roi_b"), "best_lag_sec").where("best_lag_sec is not null and not isnan(best_lag_sec)")
 
 
+def pair_lags(spark: SparkSession, path: str) -> DataFrame:
+    """The same from folders written by sinks.write_pair_lags."""
+    t = spark.read.schema("roiA array<long>, roiB array<long>, best_lag_sec array<double>, pair string").parquet(path)
+    t = t.select("pair", "roiA", "roiB", F.posexplode("best_lag_sec").alias("at", "best_lag_sec")).where("best_lag_sec is not null and not isnan(best_lag_sec)")
+    across = F.size("roiB")
+    return t.select("pair", F.get("roiA", F.floor(F.col("at") / across).cast("int")).alias("roi_a"), F.get("roiB", F.col("at") % across).alias("roi_b"), "best_lag_sec")
+
+
 def natural_order(df: DataFrame, column: str) -> DataFrame:
     """df ordered by the numbers in column, then its text: C2xC10 before C10xC2."""
     return df.orderBy(F.transform(F.regexp_extract_all(column, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long")), column)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxgrain.operators import blocks as B
+
+#: First and second regions of a row of write_pair_lags, which readers hold by the thousand.
+PART = 32, 64
+
 
 def write_traces(df: DataFrame, path: str) -> None:
     """Traces by recording and variant, sorted by roi and frame, so that scans prune both."""
@@ -98,3 +105,31 @@ def write_identities(clusters: DataFrame, path: str) -> None:
     named = clusters.select(cluster_name("cluster").alias("cluster"), "roi")
     write_clusters(named, f"{path}/clusters")
     write_summary(named, f"{path}/cluster_identities")
+
+
+def write_pair_lags(regions: DataFrame, lag: Callable[[np.ndarray, np.ndarray], np.ma.MaskedArray], path: str) -> None:
+    """The lags of all pairs of a region of a lesser cluster and one of a greater, a folder a pair of clusters (C1xC2). A row has some
+    regions of either, roiA and roiB, and best_lag_sec of each with each, row by row, missing ones as null: a pair of regions costs its
+    lag, in the few bits that its dictionary has, and not a line. regions: label (int), roi; lag(a, b), of ids that broadcast."""
+
+    def work(tiles, _):
+        for a, _, b, _, _ in tiles:
+            x = np.ma.masked_invalid(lag(a[:, None], b[None]), copy=False)
+            cuts = [np.s_[i : i + PART[0], j : j + PART[1]] for i in range(0, len(a), PART[0]) for j in range(0, len(b), PART[1])]
+            values, gone = (np.concatenate([y[c].ravel() for c in cuts]) for y in (x.data, np.ma.getmaskarray(x)))
+            sides = {"roiA": [a[c[0]] for c in cuts], "roiB": [b[c[1]] for c in cuts]}
+            ends = np.concatenate([[0], np.cumsum([len(f) * len(s) for f, s in zip(*sides.values(), strict=True)])]).astype(np.int32)
+            there = pa.py_buffer(np.packbits(~gone, bitorder="little"))  # pa.array(values, mask=gone) takes 40 times as long
+            lags = pa.Array.from_buffers(pa.float64(), len(values), [there, pa.py_buffer(values.astype(float, copy=False))])
+            yield sides | {"best_lag_sec": pa.ListArray.from_arrays(pa.array(ends), lags)}
+
+    r = regions.select("label", "roi", F.array(F.lit(0.0)).alias("zs"))
+    p = B.over_pairs(r, work, "roiA array<long>, roiB array<long>, best_lag_sec array<double>", kind="label", with_self=False)
+    p = p.select(F.concat(F.lit("C"), "label_a", F.lit("xC"), "label_b").alias("pair"), "roiA", "roiB", "best_lag_sec")
+    conf, open_files = regions.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(open_files)
+    conf.set(open_files, "64")  # a task has few pairs; one file at a time would have all lags sorted by pair on disk first
+    try:
+        p.write.partitionBy("pair").parquet(path, compression="zstd")
+    finally:
+        conf.set(open_files, before)

@@ -1,5 +1,7 @@
 """Recordings that number their regions alike don't meet; readers, steps and ranks on small tables."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +123,23 @@ def test_readers(spark, tmp_path):
     assert [r["pair"] for r in readers.natural_order(names, "pair").collect()] == ["C2xC9", "C2xC10", "C10xC2"]
 
 
+def test_pair_lags_cost_less_than_a_line_a_pair(spark):
+    """As q_pair_summaries writes and reads them: every pair with its lag, missing ones and NaN left out, clusters in order of number."""
+    folder = shared_folder(spark, "pairs-test")
+    label = {i: (2, 10, 3)[i % 3] for i in range(900)}
+
+    def lag(a, b):
+        return np.ma.array(np.where((a + b) % 7 == 0, np.nan, (a * 3 + b) % 11 / 10.0), mask=(a + b) % 5 == 0)
+
+    sinks.write_pair_lags(spark.createDataFrame([(label[i], i) for i in label], "label int, roi long"), lag, folder)
+    want = {(f"C{label[a]}xC{label[b]}", a, b, (a * 3 + b) % 11 / 10.0) for a in label for b in label if label[a] < label[b] and (a + b) % 5 and (a + b) % 7}
+    got = readers.pair_lags(spark, folder).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    files = [f for f in Path(folder).rglob("*.parquet")]
+    assert {f.parent.name for f in files} == {"pair=C2xC3", "pair=C2xC10", "pair=C3xC10"} and sum(f.stat().st_size for f in files) < 3 * 300 * 300
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_sheets_and_identities(spark):
     folder = shared_folder(spark, "sheets-test")
     sinks.upsert_sheet(spark.createDataFrame([(1, 2.0, 1.0), (2, 3.0, None)], "event long, start_s double, end_s double"), folder, "EventWindows")
