@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from fluxgrain.operators import blocks as B
 
 #: First and second regions of a row of write_pair_lags, which readers hold by the thousand.
 PART = 32, 64
+#: Columns that wide() leaves to a pivot, and values that it holds otherwise.
+FEW, CELLS = 256, 1 << 21
 
 
 def write_traces(df: DataFrame, path: str) -> None:
@@ -20,10 +25,53 @@ def write_traces(df: DataFrame, path: str) -> None:
     df.repartition("recording", "variant").sortWithinPartitions("recording", "variant", "roi", "frame").write.mode("overwrite").partitionBy("recording", "variant").parquet(path)
 
 
-def wide(df: DataFrame, row: str, column: str, value: str, names: Sequence[int], prefix: str = "roi_") -> DataFrame:
-    """One row a frame, one column a region; the columns are given, so their number is known and no pass looks for them."""
-    w = df.groupBy(row).pivot(column, list(names)).agg(F.first(value))
-    return w.select(row, *(F.col(str(n)).alias(f"{prefix}{n}") for n in names))
+def wide(df: DataFrame, row: str, column: str, value: str, names: Sequence[int], prefix: str = "roi_", few: int = FEW) -> DataFrame:
+    """One row a frame, one column a region; the columns are given, so their number is known and no pass looks for them.
+
+    A pivot plans several expressions a column on the driver. So more than a few columns are put together where the rows are: they
+    come sorted by frame, and a worker holds about `CELLS` values whatever the number of either."""
+    names = list(names)
+    if len(names) <= few:
+        w = df.groupBy(row).pivot(column, names).agg(F.first(value))
+        return w.select(row, *(F.col(str(n)).alias(f"{prefix}{n}") for n in names))
+    key, kind = df.schema[row], df.schema[value].dataType
+    schema = StructType([key, *(StructField(f"{prefix}{n}", kind) for n in names)])
+    of_key, of_value, at_once = to_arrow_type(key.dataType), to_arrow_type(kind), max(1, CELLS // len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, header = pd.Index(names), [f.name for f in schema]
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            flat, gone = np.zeros((len(names), len(held)), of_value.to_pandas_dtype()), np.ones((len(names), len(held)), bool)
+            for k, (_, parts) in enumerate(held):
+                for at, x, missing in reversed(parts):  # of several values the first one stays
+                    flat[at, k], gone[at, k] = x, missing
+            values = pa.array(flat.ravel(), of_value, mask=gone.ravel())
+            return pa.RecordBatch.from_arrays([pa.array([name for name, _ in held], of_key), *(values.slice(i * len(held), len(held)) for i in range(len(names)))], names=header)
+
+        held: list[tuple] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1), len(batch)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(i, j - i)
+                name, at = part.column(0)[0].as_py(), place.get_indexer(part.column(1).to_pandas())
+                missing = part.column(2).is_null().to_numpy(zero_copy_only=False)
+                x = part.column(2).fill_null(of_value.to_pandas_dtype()(0)) if missing.any() and not pa.types.is_string(of_value) else part.column(2)
+                known = (at >= 0).nonzero()[0][::-1]
+                if not held or held[-1][0] != name:
+                    if len(held) == at_once:
+                        yield flush(held)
+                        held = []
+                    held.append((name, []))
+                held[-1][1].append((at[known], x.to_numpy(zero_copy_only=False)[known], missing[known]))
+        if held:
+            yield flush(held)
+
+    dealt = df.select(row, column, value).repartition(row).sortWithinPartitions(row)
+    return dealt.mapInArrow(run, schema)
 
 
 def write_wide_csv(df: DataFrame, path: str) -> None:

@@ -165,3 +165,15 @@ def test_spectrum_of_long_traces(spark):
     got = {(r["roi"], r["k"]): r["power"] for r in T.power_spectrum(df).collect()}
     want = np.abs(np.fft.rfft(x)) ** 2
     assert len(got) == want.size and all(got[i, k] == pytest.approx(want[i, k]) for i in range(3) for k in range(want.shape[1]))
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "int"])
+def test_many_columns_are_put_together_like_a_pivot(spark, kind):
+    """As q_pivot_wide has them; its plan has no expression a column."""
+    t = spark.range(40 * 300).selectExpr("IF(id % 300 = 7, NULL, id % 300) AS frame", "id DIV 300 AS roi", f"CAST(IF(id % 11 = 0, NULL, id) AS {kind}) AS f").where("roi % 13 != frame % 17 OR frame IS NULL")
+    names = [n for n in range(45) if n != 6]  # some that are not there, one left out
+    want = sinks.wide(t, "frame", "roi", "f", names)
+    got = sinks.wide(t, "frame", "roi", "f", names, few=0)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 300
+    plan = sinks.wide(t, "frame", "roi", "f", range(5000))._jdf.queryExecution().analyzed()
+    assert not any("Aggregate" in plan.p(i).nodeName() for i in range(2))
