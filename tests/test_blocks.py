@@ -138,6 +138,18 @@ def test_points_of_curves(arrays, z):
     assert len(got) == 7 * len(same_group(200)) and all(got[a, b, 2] == pytest.approx(z[a][2:] @ z[b][:-2] / FRAMES, abs=6e-7) for a, b in same_group(200)[::97])
 
 
+def test_stored_values_become_scores_in_the_worker(spark):
+    """As q_xcorr_best, q_xcorr_curve, q_surrogate_summary and q_cluster_pair_stats send them: 4 bytes a value; a constant trace is 0."""
+    x = np.random.default_rng(8).normal(3, 2, size=(200, 10)).astype(np.float32)
+    x[5] = x[5, 0]
+    rows = pd.DataFrame({"grp": 0, "roi": np.arange(200), "xs": list(x), "zs": list(B.scores(x.astype(float)))})
+    t = spark.createDataFrame(rows, "grp long, roi long, xs array<float>, zs array<double>")
+    a, b = (sorted(map(tuple, P.curve_peaks(t.select("grp", "roi", c), 3).collect())) for c in ("xs", "zs"))
+    assert a == b and len(a) == 200 * 199 / 2 and {r[3:] for r in a if 5 in r[1:3]} == {(-3, 0.0, 0.0)}
+    w = np.float64(x[3]), np.float64(x[77])
+    assert [r[5] for r in a if r[1:3] == (3, 77)] == [pytest.approx(np.corrcoef(*w)[0, 1], abs=6e-7)]
+
+
 def test_correlations_across_kinds(arrays, z):
     """As q_xcorr_from_sync has them: the first region is of the lesser kind, whatever the numbers."""
     got = {(r["roi_a"], r["roi_b"]): r["r"] for r in P.correlations_across(arrays.withColumn("rec", -F.col("roi") % 3), "rec", ["grp"]).collect()}
