@@ -150,6 +150,17 @@ def test_stored_values_become_scores_in_the_worker(spark):
     assert [r[5] for r in a if r[1:3] == (3, 77)] == [pytest.approx(np.corrcoef(*w)[0, 1], abs=6e-7)]
 
 
+def test_bins_of_stored_traces(spark):
+    """As q_bin_correlation takes them: like z scores of the frames in each bin, a last bin of too few samples left out."""
+    x = np.random.default_rng(9).normal(size=(30, 21)).astype(np.float32)
+    arrays = spark.createDataFrame(pd.DataFrame({"roi": np.arange(30), "xs": list(x)}), "roi long, xs array<float>")
+    t = arrays.select("roi", F.posexplode("xs").alias("frame", "f"))
+    bins = spark.createDataFrame([(0,), (2,), (2,), (5,)], "bin long")
+    for frames, groups in ((8, {0}), (9, {0}), (7, set())):
+        got, want = (sorted(map(tuple, P.correlations(c).collect())) for c in (P.binned(arrays, bins, frames), P.window_scores(P.in_bins(t, bins, frames), "bin")))
+        assert got == want and {r[0] for r in got} == groups and len(got) == len(groups) * 30 * 29 / 2
+
+
 def test_correlations_across_kinds(arrays, z):
     """As q_xcorr_from_sync has them: the first region is of the lesser kind, whatever the numbers."""
     got = {(r["roi_a"], r["roi_b"]): r["r"] for r in P.correlations_across(arrays.withColumn("rec", -F.col("roi") % 3), "rec", ["grp"]).collect()}
