@@ -161,6 +161,20 @@ def test_bins_of_stored_traces(spark):
         assert got == want and {r[0] for r in got} == groups and len(got) == len(groups) * 30 * 29 / 2
 
 
+def test_points_of_curves_come_a_lag_at_a_time():
+    """As q_xcorr_curve puts them out: no batch holds more than one lag of a tile."""
+    held = {}
+    over = B.over_pairs
+    try:
+        B.over_pairs = lambda arrays, work, *_: held.setdefault("work", work)
+        P.curve_points(None, 2)
+    finally:
+        B.over_pairs = over
+    x = B.scores(np.random.default_rng(1).normal(size=(50, 8)))
+    made = list(held["work"](B.rising(np.arange(50), x, None, None), {}))
+    assert [set(m["k"]) for m in made] == [{k} for k in range(-2, 3)] and {len(m["r"]) for m in made} == {50 * 49 // 2}
+
+
 def test_correlations_across_kinds(arrays, z):
     """As q_xcorr_from_sync has them: the first region is of the lesser kind, whatever the numbers."""
     got = {(r["roi_a"], r["roi_b"]): r["r"] for r in P.correlations_across(arrays.withColumn("rec", -F.col("roi") % 3), "rec", ["grp"]).collect()}
