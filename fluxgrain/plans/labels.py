@@ -146,4 +146,4 @@ def q_leaf_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rois, merges = C.linkage(trace_arrays(spark, sf_dir))
     order = kernels.leaf_order(merges, len(rois))
     colours = kernels.colour_groups(merges, len(rois), kernels.auto_cut(merges, len(rois)))
-    return spark.createDataFrame([(i, int(rois[x]), f"C{c}") for i, (x, c) in enumerate(zip(order, colours, strict=True))], "position int, roi long, colour string")
+    return spark.createDataFrame([(i, rois[x], f"C{c}") for i, (x, c) in enumerate(zip(order, colours, strict=True))], "position int, roi long, colour string")

@@ -47,3 +47,11 @@ def test_odd_vectors_are_as_far_as_constant_ones(spark):
 def test_vectors_of_several_lengths_are_named(spark):
     with pytest.raises(ValueError, match="several lengths"):
         C.linkage(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "roi long, xs array<double>"))
+
+
+def test_leaf_colours_of_odd_regions(spark, odd, none):
+    rows = QUERIES["q_leaf_colours"](spark, odd).collect()
+    assert sorted(r["position"] for r in rows) == list(range(18)) and {r["roi"] for r in rows} == {*range(12), *range(100, 105), None}
+    of = {r["roi"]: r["colour"] for r in rows}
+    assert of[None] == of[1] == of[5] != "C0"
+    assert QUERIES["q_leaf_colours"](spark, none).collect() == []
