@@ -55,3 +55,11 @@ def test_leaf_colours_of_odd_regions(spark, odd, none):
     of = {r["roi"]: r["colour"] for r in rows}
     assert of[None] == of[1] == of[5] != "C0"
     assert QUERIES["q_leaf_colours"](spark, none).collect() == []
+
+
+def test_two_clusters_anew_of_odd_regions(spark, odd, none, tmp_path):
+    got = {r["roi"]: r["cluster"] for r in QUERIES["q_recluster"](spark, odd).collect()}
+    assert set(got) == {*range(12), *range(100, 105)}  # clusters name their regions by id
+    assert QUERIES["q_recluster"](spark, none).collect() == []
+    others = embeddings(spark, tmp_path, [(i, x, 5) for i, x in enumerate(PLAIN)])
+    assert QUERIES["q_recluster"](spark, others).collect() == []  # none of the two clusters is there
