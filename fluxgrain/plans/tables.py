@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgrain.session import shared_folder
+from fluxgrain.session import MANY_COLUMNS, beside, shared_folder
 from fluxgrain.plans.registry import query, r6
 from fluxgrain.sources import sinks, text
 from fluxgrain.sources.standins import cluster, read, trace, trace_arrays, with_
@@ -104,8 +104,9 @@ def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column for each region, whose number SQL can't know beforehand: tested against the arrays; q_pivot_recordings has SQL."""
-    t = trace(spark, sf_dir).withColumn("f", r6("f"))
-    return sinks.wide(t, "frame", "roi", "f", sorted(trace_arrays(spark, sf_dir).select("roi").distinct().toArrow()["roi"].to_pylist()))
+    own = beside(spark, MANY_COLUMNS)
+    t = trace(own, sf_dir).withColumn("f", r6("f"))
+    return sinks.wide(t, "frame", "roi", "f", sorted(trace_arrays(own, sf_dir).select("roi").distinct().toArrow()["roi"].to_pylist()))
 
 
 @query(with_("trace") + ", m AS (SELECT recording, frame, round(avg(f), 6) + 0.0 AS f FROM trace GROUP BY ALL) SELECT frame, " + ", ".join(f"max(f) FILTER (recording = {i}) AS rec_{i}" for i in range(10)) + " FROM m GROUP BY frame")

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from fluxgrain.plans.all_queries import FLAGSHIP  # noqa: F401  (registers all queries)
@@ -43,3 +44,15 @@ def test_wide_file_has_a_column_a_region(spark, sf):
     arrays = {r["roi"]: r["xs"] for r in trace_arrays(spark, sf).collect()}
     rows = QUERIES["q_pivot_wide"](spark, sf).collect()
     assert len(rows) == 64 and all(row[f"roi_{i}"] == pytest.approx(x[row["frame"]], abs=1e-6) for row in rows for i, x in arrays.items())
+
+
+def test_wide_file_is_written_without_a_dictionary_a_column(spark, sf, tmp_path):
+    """A dictionary costs a writer 16 KB a column, which at 1 GB was more than an executor has. The caller's session stays as it is."""
+    before = dict(spark.conf.getAll)
+    df = QUERIES["q_pivot_wide"](spark, sf)
+    df.write.parquet(f"{tmp_path}/wide")
+    table = pq.read_table(f"{tmp_path}/wide")
+    assert sorted(map(str, table.to_pylist())) == sorted(str(r.asDict()) for r in df.collect())
+    chunks = [g.column(i) for f in tmp_path.glob("wide/*.parquet") for g in [pq.ParquetFile(f).metadata.row_group(0)] for i in range(g.num_columns)]
+    assert chunks and not any(c.has_dictionary_page for c in chunks)
+    assert dict(spark.conf.getAll) == before
