@@ -220,3 +220,17 @@ def test_peaks_of_equal_lags_in_pairs(arrays, z):
     """As q_xcorr_event has them, with lags equal to nine places."""
     got = {(r["roi_a"], r["roi_b"]): r["best_lag"] for r in P.curve_peaks(arrays, 4, even=9).collect()}
     assert sorted(got) == same_group() and all(got[a, b] == best(z, a, b, 4)[0] for a, b in same_group()[::997])
+
+
+def test_stored_values_are_centred_or_softened_in_the_worker(spark):
+    """As q_raw_xcorr and distances send them: 4 bytes a value."""
+    x = np.random.default_rng(11).normal(3, 2, size=(150, 10)).astype(np.float32)
+    t = spark.createDataFrame(pd.DataFrame({"grp": 0, "roi": np.arange(150), "xs": list(x)}), "grp long, roi long, xs array<float>")
+    y = x - x.mean(1, keepdims=True, dtype=float)
+    got = {r[1:3]: r for r in map(tuple, P.curve_peaks(t, 2, scale=1, form=B.centred).collect())}
+    assert len(got) == 150 * 149 / 2 and all(r[5] == pytest.approx(y[a] @ y[b], abs=1e-6) for (a, b), r in got.items())
+    z = y / (y.std(1, keepdims=True) + 1e-8)
+    for kind, want in (("correlation", lambda a, b: 1 - z[a] @ z[b] / 10), ("euclidean", lambda a, b: np.linalg.norm(z[a] - z[b]))):
+        d = C.distances(t, kind)
+        assert "transform" not in d._jdf.queryExecution().optimizedPlan().toString()  # sent as stored
+        assert all(r["dist"] == pytest.approx(want(r["roi_a"], r["roi_b"]), abs=1e-5) for r in d.collect())
