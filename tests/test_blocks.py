@@ -222,6 +222,19 @@ def test_peaks_of_equal_lags_in_pairs(arrays, z):
     assert sorted(got) == same_group() and all(got[a, b] == best(z, a, b, 4)[0] for a, b in same_group()[::997])
 
 
+def test_windows_of_stored_traces(spark):
+    """As q_xcorr_event, q_onset_lags and q_xcorr_from_sync take them: like z scores of the frames in each window, as stored."""
+    x = np.random.default_rng(10).normal(2, 3, size=(30, 21)).astype(np.float32)
+    x[4] = x[4, 0]
+    arrays = spark.createDataFrame(pd.DataFrame({"roi": np.arange(30), "xs": list(x)}), "roi long, xs array<float>").union(spark.createDataFrame([(30, None)], "roi long, xs array<float>"))
+    windows = spark.createDataFrame([(0, 0, 9), (1, 5, None), (2, 14, 20), (3, 13, None), (4, 30, None)], "grp long, s int, e int")
+    w = P.windowed(arrays, windows)
+    assert w.schema["xs"].dataType.simpleString() == "array<float>" and {r["grp"]: len(r["xs"]) for r in w.collect()} == {0: 10, 1: 16, 3: 8}
+    t = arrays.select("roi", F.posexplode("xs").alias("frame", "f")).join(windows, F.col("frame").between(F.col("s"), F.coalesce("e", F.lit(20))))
+    got, want = (sorted(map(tuple, P.curve_peaks(c, 3, even=9).collect())) for c in (w, P.window_scores(t, "grp")))
+    assert got == want and len(got) == 3 * 30 * 29 / 2
+
+
 def test_stored_values_are_centred_or_softened_in_the_worker(spark):
     """As q_raw_xcorr and distances send them: 4 bytes a value."""
     x = np.random.default_rng(11).normal(3, 2, size=(150, 10)).astype(np.float32)
